@@ -5,22 +5,64 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import decontamination, html_extract, packing, pii, quality_rules, secret_scan
 from .jaccard import ngram_jaccard_components
+from .scratch import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: The key of the pseudonyms in these queries. Production keys come from a secret store.
+PSEUDONYM_KEY = "spanveil example key"
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = secret_scan.find_secrets(_table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return got.select("row.doc_id", "got.n_assign", "got.n_access", "got.n_hex", F.sha2("got.base_spans", 256).alias("base_sha256"), "got.spans", "got.n_decoded")
+
+
+def op3_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = Scratch(spark, "quality").save(quality_rules.counts_of(_table(spark, sf_dir, "documents"), keep=["doc_id"]))
+    judged = quality_rules.judge(counted, quality_rules.label_model(counted))
+    return judged.select("row.doc_id", *(f"got.{c}" for c in quality_rules.COUNTS[:5]), "base_failed", "kept", "quality_prob")
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.find_benchmark_spans(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "row.doc_id",
+        "got.n_words",
+        "got.n_hit",
+        F.size("got.items").cast("bigint").alias("n_items"),
+        decontamination.items_sha256(F.col("got.items")).alias("items_sha256"),
+        (F.col("got.n_hit") > 0).alias("contaminated"),
+    )
+
+
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages"), keep=["page_id", "url"]).select("row.page_id", "row.url", "got.text", "got.n_chars")
+
+
+def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonyms(_table(spark, sf_dir, "documents"), PSEUDONYM_KEY, keep=["doc_id"]).select("row.doc_id", "got.text", "got.n_values", "got.kinds", "got.spans")
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_components(_table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
 def queries() -> dict[str, Query]:
-    return {"op9_ngram_jaccard": op9_ngram_jaccard}
+    found = (op1_secret_scan, op3_length_buckets, op4_quality_rules, op6_decontamination, op7_html_extraction, op8_pseudonyms, op9_ngram_jaccard)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:

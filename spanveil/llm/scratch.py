@@ -8,11 +8,14 @@ lineage and outlives the executor that wrote it.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from spanveil.shipping import ship
+
 _own: list[str] = []
 
 
@@ -27,7 +30,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Let Arrow batches hold ``rows`` rows where the session has Spark's default of 10,000, as texts can be long."""
+    """Send the package to the executors, and let Arrow batches hold ``rows`` rows where the session has Spark's default of 10,000, as texts can be long."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key) == "10000":
         spark.conf.set(key, str(rows))
@@ -69,3 +73,8 @@ class Scratch:
         path = self._paths.pop(id(df), None)
         if path:
             _delete(self.spark, path)
+
+    def free(self) -> None:
+        """Let Spark remove the shuffle files of finished steps; it does so once the JVM has dropped their plans."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
