@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
@@ -133,39 +133,66 @@ def _whole_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
 
 
 class _Join:
-    def __init__(self, scratch: Scratch, num: int, den: int):
-        self.scratch, self.num, self.den = scratch, num, den
+    """What the rounds share: the texts, postings and the whole sets read so far."""
 
-    def like(self, a: str, b: str) -> F.Column:
+    def __init__(self, docs: DataFrame, scratch: Scratch, k: int, num: int, den: int):
+        self.docs, self.scratch, self.k, self.num, self.den = docs, scratch, k, num, den
+        self.sets: DataFrame | None = None
+        self.heads: DataFrame | None = None
+
+    def like(self, a: str, b: str) -> Column:
         """The sizes allow the threshold."""
         return (F.col(a) * self.den >= F.col(b) * self.num) & (F.col(b) * self.den >= F.col(a) * self.num)
 
-    def verify(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """Pairs (u, v) whose whole sets overlap enough."""
-        a, b = sets.select(F.col("v").alias("u"), F.col("shingles").alias("s")), sets.select("v", F.col("shingles").alias("t"))
-        both = pairs.select("u", "v").join(a, "u").join(b, "v")
+    def reach(self, c: Column, a: str, b: str) -> Column:
+        """With c shared among the first columns of both rows, the columns after the earlier end can still make up the threshold."""
+        rest_a, rest_b = F.col(f"{a}.n") - F.col(f"{a}.p"), F.col(f"{b}.n") - F.col(f"{b}.p")
+        end_a, end_b = F.col(f"{a}.last"), F.col(f"{b}.last")
+        rest = F.when(end_a < end_b, rest_a).when(end_a > end_b, rest_b).otherwise(F.greatest(rest_a, rest_b))
+        return (c + rest) * (self.num + self.den) >= self.num * (F.col(f"{a}.n") + F.col(f"{b}.n"))
+
+    def within_reach(self, pairs: DataFrame) -> DataFrame:
+        """Pairs (u, v) whose overlap in the first columns leaves the threshold in reach."""
+        a, b = (self.heads.select(F.col("v").alias(x), F.struct("n", "p", "last", "tokens").alias(y)) for x, y in (("u", "a"), ("v", "b")))
+        both = pairs.join(a, "u").join(b, "v")
+        return both.where(self.reach(F.size(F.array_intersect("a.tokens", "b.tokens")), "a", "b")).select("u", "v")
+
+    def verify(self, pairs: DataFrame) -> DataFrame:
+        """Pairs (u, v) whose whole sets overlap enough, written. Sets not read before are read from the texts."""
+        pairs = self.scratch.save(pairs)
+        ids = pairs.select(F.col("u").alias("v")).unionByName(pairs.select("v")).distinct()
+        if self.sets is not None:
+            ids = ids.join(self.sets.select("v"), "v", "left_anti")
+        ids = self.scratch.save(ids)
+        n = ids.count()
+        if n or self.sets is None:
+            new = self.scratch.save(_whole_sets(self.docs, F.broadcast(ids) if n <= BROADCAST_IDS else ids, self.k))
+            self.sets = new if self.sets is None else self.scratch.union(self.sets, new)
+        a = self.sets.join(pairs.select(F.col("u").alias("v")).distinct(), "v", "left_semi").select(F.col("v").alias("u"), F.col("shingles").alias("s"))
+        b = self.sets.join(pairs.select("v").distinct(), "v", "left_semi").select("v", F.col("shingles").alias("t"))
         overlap = F.size(F.array_intersect("s", "t"))
-        return both.where(overlap * (self.num + self.den) >= self.num * (F.size("s") + F.size("t"))).select("u", "v").distinct()
+        both = pairs.join(a, "u").join(b, "v").where(overlap * (self.num + self.den) >= self.num * (F.size("s") + F.size("t")))
+        out = self.scratch.save(both.select("u", "v").distinct())
+        self.scratch.drop(pairs)
+        self.scratch.drop(ids)
+        self.scratch.free()
+        return out
 
     def stars(self, posts: DataFrame, turn: int) -> DataFrame:
-        """For each row, the hub that it shares the most columns with."""
+        """For each row, the hub of another component that it shares the most columns with."""
         step = math.log(self.den / self.num)
         rows = posts.withColumn("cls", F.floor(F.log("n") / F.lit(step) + F.lit(turn % 2 / 2)))
         hubs = rows.groupBy("token", "cls").agg(F.min(F.struct(F.xxhash64("v", F.lit(turn // 2)).alias("h"), "v", "n", "comp")).alias("hub"))
-        tried = rows.join(hubs, ["token", "cls"]).where("v <> hub.v and comp <> hub.comp").select("v", F.col("n"), F.col("hub.v").alias("u"), F.col("hub.n").alias("m"))
-        counted = tried.where(self.like("n", "m")).groupBy("v", "u").agg(F.count(F.lit(1)).alias("c"))
-        return counted.groupBy("v").agg(F.max_by("u", F.struct("c", "u")).alias("u")).select("u", "v")
+        tried = rows.join(hubs, ["token", "cls"]).where("v <> hub.v and comp <> hub.comp").where(self.like("n", "hub.n"))
+        counted = tried.groupBy("v", F.col("hub.v").alias("u")).agg(F.count(F.lit(1)).alias("c"))
+        return self.within_reach(counted.groupBy("v").agg(F.max_by("u", F.struct("c", "u")).alias("u")).select("u", "v"))
 
     def crossing(self, posts: DataFrame) -> DataFrame:
-        """Pairs of different components whose overlap in the first columns leaves the threshold in reach."""
-        a = posts.select("token", *(F.col(c).alias(f"a_{c}") for c in ("v", "n", "p", "last", "comp")))
-        b = posts.select("token", *(F.col(c).alias(f"b_{c}") for c in ("v", "n", "p", "last", "comp")))
-        met = a.join(b, "token").where("a_v < b_v and a_comp <> b_comp").where(self.like("a_n", "b_n"))
-        slim = [F.first(c).alias(c) for c in ("a_n", "a_p", "a_last", "b_n", "b_p", "b_last")]
-        counted = met.groupBy("a_v", "b_v").agg(F.count(F.lit(1)).alias("c"), *slim)
-        rest_a, rest_b = F.col("a_n") - F.col("a_p"), F.col("b_n") - F.col("b_p")
-        rest = F.when(F.col("a_last") < F.col("b_last"), rest_a).when(F.col("a_last") > F.col("b_last"), rest_b).otherwise(F.greatest(rest_a, rest_b))
-        return counted.where((F.col("c") + rest) * (self.num + self.den) >= self.num * (F.col("a_n") + F.col("b_n"))).select(F.col("a_v").alias("u"), F.col("b_v").alias("v"))
+        """All pairs of different components that share a column and are within reach."""
+        a, b = (posts.select("token", "comp", F.struct("v", "n", "p", "last").alias(x)).withColumnRenamed("comp", f"{x}_comp") for x in "ab")
+        met = a.join(b, "token").where("a.v < b.v and a_comp <> b_comp").where(self.like("a.n", "b.n"))
+        counted = met.groupBy("a.v", "b.v").agg(F.count(F.lit(1)).alias("c"), F.first("a").alias("a"), F.first("b").alias("b"))
+        return counted.where(self.reach(F.col("c"), "a", "b")).select(F.col("a.v").alias("u"), F.col("b.v").alias("v"))
 
 
 def ngram_jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
@@ -183,36 +210,33 @@ def ngram_jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int
     spark: SparkSession = docs.sparkSession
     bounded_batches(spark)
     scratch = Scratch(spark, "jaccard")
-    op = _Join(scratch, num, den)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    op = _Join(docs, scratch, k, num, den)
     signed = scratch.save(_signatures(docs, k, num, den))
     classes = signed.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("v"), *(F.first(c).alias(c) for c in ("n", "last", "prefix")))
-    rows = scratch.save(classes.drop("digest"))
-    posts = rows.select(F.explode("prefix").alias("token"), "v", "n", F.size("prefix").alias("p"), "last")
+    posts = classes.select(F.explode("prefix").alias("token"), "v", "n", F.size("prefix").alias("p"), "last")
     shared = posts.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("token")
     posts = scratch.save(posts.join(shared, "token").withColumn("comp", F.col("v")))
-    scratch.drop(rows)
-    active = posts.select("v").distinct()
-    n_posts, n_active = posts.count(), active.count()
-    sets = scratch.save(_whole_sets(docs, F.broadcast(active) if n_active <= BROADCAST_IDS else active, k))
-    links = scratch.save(sets.select(F.col("v").alias("u"), "v").limit(0))
-    all_links, found = links, components(links, scratch)
+    scratch.free()
+    op.heads = scratch.save(posts.groupBy("v").agg(*(F.first(c).alias(c) for c in ("n", "p", "last")), F.collect_set("token").alias("tokens")))  # p tokens at most
+    n_posts = posts.count()
+    links = found = None
     for turn in range(1000):
-        new = scratch.save(op.verify(op.stars(posts, turn), sets))
+        new = op.verify(op.stars(posts, turn))
         some = new.count()
         if some:
-            all_links = all_links.unionByName(new)
-            found = components(all_links, scratch)
+            links = new if links is None else scratch.union(links, new)
+            found = scratch.save(components(links, scratch))
             posts = posts.drop("comp").join(found.select(F.col("id").alias("v"), F.col("component").alias("comp")), "v", "left").withColumn("comp", F.coalesce("comp", "v"))
         groups = posts.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("token").agg(F.count(F.lit(1)).alias("g"), F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("mm")).where("g > 1")
         groups = scratch.save(groups)
         posts = scratch.save(posts.join(groups.select("token"), "token", "left_semi"))
         left = groups.agg(F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("mm")) / 2), F.lit(0))).first()[0]
-        if left <= 4 * n_posts or not some and turn % 2:
+        if left <= 4 * n_posts or (not some and turn % 2):
             break
-    last = scratch.save(op.verify(op.crossing(posts), sets))
-    all_links = all_links.unionByName(last).distinct()
-    found = scratch.save(components(all_links, scratch))
+    last = op.verify(op.crossing(posts))
+    found = scratch.save(components(last if links is None else scratch.union(links, last), scratch))
+    scratch.free()
     return _result(signed, found)
 
 

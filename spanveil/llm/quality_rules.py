@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .kernels import CONTINUATION, NEWLINE, SPACES, U64, Words, byte_set, column_bytes, mix64, per_text, pieces, range_hashes, shingles
 from .rows import with_text
 
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_ended", "n_upper", "n_letters", "n_digits", "n_bangs")
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_ended", "n_upper", "n_letters", "n_digits", "n_bangs", "n_short_words")
 FIELDS = ", ".join(f"{c}: bigint" for c in COUNTS)
 
 _SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
@@ -69,6 +69,8 @@ def text_counts(column: pa.Array) -> list[pa.Array]:
         if len(tail):
             tail = words.ends[np.searchsorted(words.ends, ends, "right") - 1] if n else tail
         ended = _ENDS[part[tail - 1]] if len(tail) else dup
+        size = words.ends - words.starts
+        short = (size == 2) | (size == 3)
         line_sums = lambda flags: np.bincount(of[flags], minlength=len(offs) - 1)  # noqa: B023, E731
         out[:, lo:hi] = (
             words.counts,
@@ -80,6 +82,7 @@ def text_counts(column: pa.Array) -> list[pa.Array]:
             line_sums(ended),
             *(per_text(t[part], offs) for t in (_UPPER, _LETTERS, _DIGITS)),
             per_text(part == 33, offs),
+            per_text(short, bounds),
         )
     return [pa.array(x) for x in out]
 
@@ -95,15 +98,16 @@ def votes(c) -> dict[str, Column]:
         "symbols": _vote(c("n_symbols") * 10 > words, c("n_symbols") * 50 < words),
         "upper": _vote(c("n_upper") * 5 > letters * 2, c("n_upper") * 20 < letters * 3),
         "bangs": _vote(c("n_bangs") * 5 > words, c("n_bangs") * 50 < words),
-        "repeats": _vote(c("n_repeat_words") * 5 > words, c("n_repeat_words") * 20 < words),
+        "repeats": _vote(c("n_repeat_words") * 20 > words * 7, c("n_repeat_words") * 10 < words),
         "dup_lines": _vote((c("n_dup_lines") * 10 > lines * 3) & (lines > 2), (c("n_dup_lines") == 0) & (lines > 3)),
         "word_length": _vote((c("word_chars") < words * 2) | (c("word_chars") > words * 15), (c("word_chars") >= words * 3) & (c("word_chars") <= words * 10)),
         "letters": _vote(letters * 5 < c("word_chars") * 3, letters * 20 > c("word_chars") * 17),
+        "short_words": _vote(c("n_short_words") * 10 < words, c("n_short_words") * 5 > words),
         "ended": _vote((c("n_ended") * 5 < lines) & (lines > 3), c("n_ended") * 2 > lines),
     }
 
 
-N_RULES = 8
+N_RULES = 9
 
 
 def pattern(c) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_extract, packing, pii, quality_rules, secret_scan
+from . import decontamination, html_extract, licenses, packing, pii, quality_classifier, quality_rules, secret_scan, toxicity
 from .jaccard import ngram_jaccard_components
 from .scratch import Scratch
 
@@ -26,6 +26,11 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("row.doc_id", "got.n_assign", "got.n_access", "got.n_hex", F.sha2("got.base_spans", 256).alias("base_sha256"), "got.spans", "got.n_decoded")
 
 
+def op2_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = toxicity.score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), keep=["doc_id"])
+    return got.select("row.doc_id", "got.*")
+
+
 def op3_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -36,6 +41,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("row.doc_id", *(f"got.{c}" for c in quality_rules.COUNTS[:5]), "base_failed", "kept", "quality_prob")
 
 
+def op5_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.find_benchmark_spans(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -60,8 +69,23 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_components(_table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    found = (op1_secret_scan, op3_length_buckets, op4_quality_rules, op6_decontamination, op7_html_extraction, op8_pseudonyms, op9_ngram_jaccard)
+    found = (
+        op1_secret_scan,
+        op2_toxicity_chain,
+        op3_length_buckets,
+        op4_quality_rules,
+        op5_pu_quality,
+        op6_decontamination,
+        op7_html_extraction,
+        op8_pseudonyms,
+        op9_ngram_jaccard,
+        op10_license_scan,
+    )
     return {f.__name__: f for f in found}
 
 

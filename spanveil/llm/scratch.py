@@ -51,6 +51,7 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/spanveil-{name}-{uuid.uuid4().hex}"
         self._n = 0
         self._paths: dict[int, str] = {}
+        self._held: list[DataFrame] = []  # ids stay unique
         atexit.register(self._clean)
 
     def _clean(self) -> None:
@@ -66,6 +67,17 @@ class Scratch:
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self._paths[id(out)] = path
+        self._held.append(out)
+        return out
+
+    def union(self, *tables: DataFrame) -> DataFrame:
+        """One scan over saved tables of equal schema."""
+        if len(tables) == 1:
+            return tables[0]
+        paths = [p for t in tables for p in self._paths[id(t)].split("\n")]
+        out = self.spark.read.schema(tables[0].schema).parquet(*paths)
+        self._paths[id(out)] = "\n".join(paths)
+        self._held.append(out)
         return out
 
     def drop(self, df: DataFrame) -> None:
