@@ -246,3 +246,22 @@ def _result(signed: DataFrame, found: DataFrame) -> DataFrame:
     least = least.join(found.select(F.col("id").alias("v"), "component"), "v", "left").select("digest", F.coalesce("component", "v").alias("component"))
     out = signed.select("doc_id", "n", "digest").join(least, "digest", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "doc_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+    """The documents without those whose component has a lesser doc_id; columns as they are.
+
+    Rows with a null doc_id stay. Of rows that repeat a doc_id one stays. Only
+    ids move: they are broadcast up to ``BROADCAST_IDS`` and shuffled beyond.
+    """
+    scratch = Scratch(docs.sparkSession, "keep")
+    found = scratch.save(ngram_jaccard_components(docs, k, num, den).where("doc_id is not null"))
+    ids = scratch.save(found.groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("m"), F.max(F.col("doc_id") == F.col("component_id")).alias("stays")).where("m > 1 or not stays"))
+    gone, again = ids.where("not stays").select("_id"), ids.where("stays").select("_id")
+    n_gone, n_again = gone.count(), again.count()
+    small = lambda df, n: F.broadcast(df) if n <= BROADCAST_IDS else df
+    same = F.col("doc_id") == F.col("_id")
+    out = docs.join(small(gone, n_gone), same, "left_anti") if n_gone else docs
+    if not n_again:
+        return out
+    return out.join(small(again, n_again), same, "left_anti").unionByName(out.join(small(again, n_again), same, "left_semi").dropDuplicates(["doc_id"]))
