@@ -30,8 +30,11 @@ def matches(text: Column, pattern: str) -> Column:
 
 def contact_spans(text: Column) -> Column:
     """array<struct<start, end, entity, value>> of e-mail addresses and phone numbers, resolved."""
-    typed = [F.transform(matches(text, p), lambda m, e=e: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(e).alias("entity"), m["value"].alias("value"))) for e, p in (("em", EMAIL), ("ph", PHONE))]
-    return resolve(F.concat(*typed))
+
+    def typed(entity: str, pattern: str) -> Column:
+        return F.transform(matches(text, pattern), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(entity).alias("entity"), m["value"].alias("value")))
+
+    return resolve(F.concat(typed("em", EMAIL), typed("ph", PHONE)))
 
 
 def resolve(spans: Column) -> Column:
@@ -40,7 +43,7 @@ def resolve(spans: Column) -> Column:
     In order of start, then typed before "name", then length, then place in the
     array, a span is taken if it starts at or after the end of what was taken.
     """
-    keyed = F.transform(spans, lambda s, i: F.struct(s["start"], (s["entity"] == "name").alias("loose"), (s["start"] - s["end"]).alias("short"), i.alias("i"), s.alias("span")))
+    keyed = F.transform(spans.cast("array<struct<start:int,end:int,entity:string,value:string>>"), lambda s, i: F.struct(s["start"], (s["entity"] == "name").alias("loose"), (s["start"] - s["end"]).alias("short"), i.alias("i"), s.alias("span")))
     kind = "array<struct<start:int,end:int,entity:string,value:string>>"
     zero = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
 

@@ -34,7 +34,7 @@ def lru_evictions(accesses: DataFrame, key: str, ts: str, order: str, capacity:
     blocks of one TTL. A key's first access and one after expiry are not evictions.
     """
     w = Window.partitionBy("k").orderBy("t", "o")
-    rows = accesses.select(F.col(order).alias("o"), F.col(key).alias("k"), F.col(ts).alias("t")).withColumns(
+    rows = accesses.select(F.col(order).alias("o"), F.col(key).alias("k"), F.col(ts).cast("timestamp").alias("t")).withColumns(
         {"was": F.lag("t").over(w), "was_o": F.lag("o").over(w), "then": F.lead("t").over(w), "then_o": F.lead("o").over(w)}
     )
     block = lambda c: F.floor(F.unix_micros(c) / (ttl_seconds * 1_000_000))

@@ -90,3 +90,19 @@ def restore(snaps: DataFrame) -> DataFrame:
     t = s.select("scope", F.explode("s.token_to_value").alias("token", "value"))
     number = F.regexp_extract("token", r"^<([a-z0-9]+)_(\d+)>$", 2).cast("int")
     return t.select("scope", F.regexp_extract("token", r"^<([a-z0-9]+)_(\d+)>$", 1).alias("entity"), number.alias("n"), "token", "value")
+
+
+def rehydrate(replies: DataFrame, vaults: DataFrame, scope: str, seq: str, text: str) -> DataFrame:
+    """(scope, seq, clean): each known token replaced by its value.
+
+    A reply meets only the vault rows of tokens that it holds, however large its
+    scope's vault is.
+    """
+    from spanveil.functions.placeholders import substitute
+
+    tokens = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(r"<[a-z0-9]+_\d+>"), F.lit(0)))
+    rows = replies.select(F.col(scope).alias("scope"), F.col(seq).alias("seq"), F.col(text).alias("text"), tokens.alias("tokens"))
+    wanted = rows.select("scope", "seq", F.explode("tokens").alias("token")).join(vaults.select("scope", "token", "value"), ["scope", "token"])
+    maps = wanted.groupBy("scope", "seq").agg(F.map_from_entries(F.collect_list(F.struct("token", "value"))).alias("vault"))
+    done = rows.where(F.size("tokens") > 0).join(maps, ["scope", "seq"], "left").select("scope", "seq", F.when(F.col("vault").isNull(), F.col("text")).otherwise(substitute(F.col("text"), F.col("vault"))).alias("clean"))
+    return done.unionByName(rows.where(F.size("tokens") == 0).select("scope", "seq", F.col("text").alias("clean")))
