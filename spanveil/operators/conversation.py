@@ -22,6 +22,7 @@ from spanveil.shipping import ship
 SCOPE = ("client_id", "assistant_id", "visitor_id", "session_id", "thread_id")
 MESSAGES = "seq bigint, op string, ts double, message string, previous string, terms array<string>, new_user boolean, closed boolean"
 RESULTS = "seq bigint, op string, status string, text string, repaired string, was_repaired boolean, profile int, replacements map<string,string>, generation int"
+RESULT_FIELDS = [f.split()[0] for f in RESULTS.split(", ")]
 
 
 class Session:
@@ -77,7 +78,7 @@ def process(messages: DataFrame, scope: tuple[str, ...] = SCOPE, ttl_seconds: in
     """
     ship(messages.sparkSession)
     keys = list(scope)
-    fields = T._parse_datatype_string(RESULTS).fieldNames()
+    fields = RESULT_FIELDS
     schema = T.StructType([messages.schema[k] for k in keys] + list(T._parse_datatype_string(RESULTS)))
 
     def fold(key: tuple, rows: pd.DataFrame, old: pd.DataFrame | None = None) -> pd.DataFrame:

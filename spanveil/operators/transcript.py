@@ -118,4 +118,4 @@ def output_path(path: str, explicit: str | None = None, tag: str = "") -> str:
 def write(redacted: DataFrame, path: str) -> None:
     """Text files, one a transcript, lines in order."""
     whole = redacted.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "redacted"))), lambda x: x["redacted"]), "").alias("value"))
-    whole.select("value").write.option("lineSep", "").text(path)
+    whole.select(F.regexp_replace("value", r"\n$", "").alias("value")).write.text(path)

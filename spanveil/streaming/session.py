@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from spanveil.operators.conversation import RESULTS, SCOPE, Session
+from spanveil.operators.conversation import RESULT_FIELDS, RESULTS, SCOPE, Session
 from spanveil.operators.vault import Vault
 from spanveil.shipping import ship
 
@@ -38,7 +38,7 @@ class ScopeProcessor(StatefulProcessor):
             snapshot, last, generation = self.state.get()
             session = Session(self.ttl, Vault.restore(json.loads(snapshot)) if snapshot else None, last, generation)
         batch = pd.concat(list(rows)).sort_values(["ts", "seq"], kind="stable")
-        fields, out = T._parse_datatype_string(RESULTS).fieldNames(), []
+        fields, out = RESULT_FIELDS, []
         for r in batch.itertuples(index=False):
             got = session.step(r.op, r.ts, r.message, r.previous, [] if r.terms is None else list(r.terms), bool(r.new_user), r.closed is None or bool(r.closed))
             out.append((*key, r.seq, r.op, *(got[f] for f in fields[2:])))
@@ -53,7 +53,7 @@ class ScopeProcessor(StatefulProcessor):
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.state.clear()
-        yield pd.DataFrame([], columns=[*SCOPE, *T._parse_datatype_string(RESULTS).fieldNames()])
+        yield pd.DataFrame([], columns=[*SCOPE, *RESULT_FIELDS])
 
     def close(self) -> None:
         pass
