@@ -16,10 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import NON_ALNUM, U64, Words, column_bytes, pieces
+from .kernels import NON_ALNUM, U64, Words, column_bytes, mix64, pieces, range_hashes
 from .rows import with_text
 
-BITS = 18
+BITS = 20
 #: At most so many labelled rows train the chain: those with the least hash of their id.
 MAX_TRAINING_ROWS = 20_000
 FOLDS = 4
@@ -33,13 +33,23 @@ FAMILIES = (
 # End of the fixed values.
 
 
-def word_buckets(words: Words) -> np.ndarray:
-    return (words.hashes >> U64(64 - BITS)).astype(np.int64)
+#: Words also stand for their beginnings of so many bytes, as compounds share a stem.
+PREFIXES = (5, 6, 7, 8)
+
+
+def word_buckets(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(text index, bucket) of each word and of each proper prefix."""
+    docs, hashes, long = [words.docs], [words.hashes], words.ends - words.starts
+    for n in PREFIXES:
+        on = long > n
+        docs.append(words.docs[on])
+        hashes.append(mix64(range_hashes(words.data, words.starts[on], words.starts[on] + n) + U64(n)))
+    return np.concatenate(docs), (np.concatenate(hashes) >> U64(64 - BITS)).astype(np.int64)
 
 
 def bucket_of(word: str) -> int:
     data, offsets = column_bytes(pa.array([word]))
-    return int(word_buckets(Words(data, offsets, NON_ALNUM, lower=True))[0])
+    return int(word_buckets(Words(data, offsets, NON_ALNUM, lower=True))[1][0])
 
 
 @dataclass(frozen=True)
@@ -60,19 +70,19 @@ class Chain:
 
 
 def _select(flat: np.ndarray, row: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """The buckets whose presence tells most about y, by the z-score of their log odds."""
+    """The buckets whose presence speaks most for y, by the z-score of their log odds."""
     size = 1 << BITS
     pos, all_ = np.bincount(flat, weights=y[row], minlength=size), np.bincount(flat, minlength=size)
     n_pos, n_neg = y.sum(), len(y) - y.sum()
     neg = all_ - pos
     odds = np.log((pos + 0.5) / (n_pos - pos + 0.5)) - np.log((neg + 0.5) / (n_neg - neg + 0.5))
-    z = np.abs(odds) / np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
+    z = odds / np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
     z[all_ < 3] = 0
     best = np.argsort(-z, kind="stable")[:KEPT_FEATURES]
-    return np.sort(best[z[best] > 2])
+    return np.sort(best[z[best] > 3])
 
 
-def _fit(flat: np.ndarray, row: np.ndarray, before: np.ndarray, y: np.ndarray, steps: int = 150) -> Linear:
+def _fit(flat: np.ndarray, row: np.ndarray, before: np.ndarray, y: np.ndarray, steps: int = 300) -> Linear:
     """Logistic regression with a ridge penalty on the selected words and earlier probabilities."""
     buckets = _select(flat, row, y)
     k, m, n = len(buckets), before.shape[1], len(y)
@@ -143,8 +153,10 @@ def _bags(column: pa.Array) -> list[pa.Array]:
     out = []
     for _, _, part, offs in pieces(data, offsets):
         words = Words(part, offs, NON_ALNUM, lower=True)
-        b = word_buckets(words)
-        out += [np.unique(b[words.bounds[d] : words.bounds[d + 1]]) for d in range(len(offs) - 1)]
+        d, b = word_buckets(words)
+        pairs = np.unique(d << BITS | b)
+        ends = np.searchsorted(pairs, np.arange(len(offs)) << BITS)
+        out += [pairs[ends[i] : ends[i + 1]] & ((1 << BITS) - 1) for i in range(len(offs) - 1)]
     return [pa.array(out, pa.list_(pa.int64()))]
 
 
@@ -182,9 +194,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, keep: list[str] | None =
         probabilities = np.zeros((len(offsets) - 1, len(c.models)))
         for lo, hi, part, offs in pieces(data, offsets):
             words = Words(part, offs, NON_ALNUM, lower=True)
-            b = word_buckets(words)
+            d, b = word_buckets(words)
             on = used[b]
-            pairs = np.unique(words.docs[on] << BITS | b[on])
+            pairs = np.unique(d[on] << BITS | b[on])
             flat, row = pairs & ((1 << BITS) - 1), pairs >> BITS
             before = np.zeros((hi - lo, 0))
             for m in c.models:
