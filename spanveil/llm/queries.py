@@ -89,5 +89,54 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in found}
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_TEMPLATES = ", ".join(f"({i}, '{label}', '{words}')" for i, (label, words) in enumerate(licenses.TEMPLATES))
+
+
+def _starts(phrase: str) -> str:
+    parts = phrase.split()
+    return f"list_filter(range(0, len(w)), lambda i: {' AND '.join(f"w[i + {j + 1}] = '{p}'" for j, p in enumerate(parts))})"
+
+
+_PLACES = ", ".join(f"{_starts(phrase)} AS p_{label}" for label, phrase in licenses.PHRASES)
+_EVERY = f"list_concat(list_concat(p_{licenses.PHRASES[0][0]}, p_{licenses.PHRASES[1][0]}), p_{licenses.PHRASES[2][0]})"
+_BASE = " || ".join(f"CASE WHEN len(p_{label}) > 0 THEN ['{label}'] ELSE CAST([] AS VARCHAR[]) END" for label, _ in licenses.PHRASES)
+
+_SQL = {
+    "op10_license_scan": f"""WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM documents),
+t AS (SELECT template, label, string_split(words, ' ') AS w FROM (VALUES {_TEMPLATES}) v(template, label, words)),
+tg AS (SELECT template, label, len(w) - 2 AS grams, p AS spot, array_to_string(list_slice(w, p, p + 2), ' ') AS g FROM (SELECT template, label, w, unnest(range(1, len(w) - 1)) AS p FROM t)),
+dg AS (SELECT doc_id, p AS pos, array_to_string(list_slice(w, p, p + 2), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS p FROM d)),
+hit AS (SELECT DISTINCT doc_id, template, label, grams, pos, spot, pos - spot AS diagonal FROM dg JOIN tg USING (g)),
+dia AS (SELECT doc_id, template, diagonal, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) <= 2 THEN 0 ELSE 1 END AS apart FROM (SELECT DISTINCT doc_id, template, diagonal FROM hit)),
+span AS (SELECT doc_id, template, diagonal, sum(apart) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS span FROM dia),
+merged AS (SELECT doc_id, label, grams, count(DISTINCT spot) / grams AS score, max(pos) - min(pos) < grams * 2 AS near FROM hit JOIN span USING (doc_id, template, diagonal) GROUP BY doc_id, template, label, grams, span),
+best AS (SELECT doc_id, max(score) AS score, list(DISTINCT label) FILTER (score >= 0.75 AND near) AS more FROM merged GROUP BY doc_id),
+base AS (SELECT doc_id, w, {_PLACES} FROM d),
+b AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, {_EVERY} AS l, {_BASE} AS base_set FROM base)
+SELECT doc_id, n_words, CAST(len(l) AS BIGINT) AS n_base, list_min(l) AS first_word, list_max(l) AS last_word, array_to_string(list_sort(base_set), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(base_set || coalesce(more, CAST([] AS VARCHAR[])))), ',') AS labels, coalesce(score, 0.0) AS score FROM b LEFT JOIN best USING (doc_id)""",
+    "op6_decontamination": f"""WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM documents),
+i AS (SELECT CAST(item_id AS VARCHAR) AS item, w, least(10, len(w)) AS k FROM (SELECT item_id, regexp_extract_all({_LOWER}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM benchmark) WHERE len(w) > 0),
+win AS (SELECT DISTINCT item, k, array_to_string(list_slice(w, p, p + k - 1), ' ') AS g FROM (SELECT item, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM i)),
+dw AS (SELECT doc_id, p, k, array_to_string(list_slice(w, p, p + k - 1), ' ') AS g FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, (SELECT DISTINCT k FROM win))),
+m AS (SELECT doc_id, p, k, item FROM dw JOIN win USING (k, g)),
+hits AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + k)) AS q FROM (SELECT DISTINCT doc_id, p, k FROM m)) GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS l FROM (SELECT DISTINCT doc_id, item FROM m WHERE item IS NOT NULL) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(l, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN its USING (doc_id)""",
+    "op9_ngram_jaccard": f"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^ \\t-\\r]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, p, p + 2), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS p FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM o JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * o >= 90 * (a.n + b.n - o)),
+e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+r(doc_id, c) AS (SELECT doc_id, doc_id FROM d UNION SELECT e.y, r.c FROM r JOIN e ON e.x = r.doc_id)
+SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(c) AS component_id FROM r LEFT JOIN n USING (doc_id) GROUP BY doc_id""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The label model, trained scores, page layouts, keyed permutations, worklists, bucket search and diagonals have no SQL here; tests hold them against plain versions."""
+    return dict(_SQL)
