@@ -7,21 +7,23 @@ automaton's states also know which items hold that window. Items shorter than
 the window count as one window each.
 
 The automaton is broadcast, so its size is bounded: beyond ``max_words`` item
-words the benchmark is split into several automata, through which the documents
-stream one after the other.
+words the benchmark is split into several automata, and the documents stream
+through one after the other.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .kernels import NON_ALNUM, U64, Words, column_bytes, pieces, shingles
+from .kernels import NON_ALNUM, Words, column_bytes, pieces, shingles
 from .rows import with_text
 
 FIELDS = "n_words: bigint, n_hit: bigint, items: array<string>, clean: string"
@@ -144,7 +146,7 @@ class _as_words:
         self.hashes, self.counts, self.bounds = hashes, np.array([len(hashes)]), np.array([0, len(hashes)])
 
 
-def automata(benchmark: DataFrame, window: int = 10, max_words: int = 2_000_000) -> list[Automaton]:
+def automata(benchmark: DataFrame, window: int = 10, max_words: int = 100_000) -> list[Automaton]:
     """Automata of all items, each of about ``max_words`` words at most; items without words are left out.
 
     Items stream to the driver partition by partition, as they must all be in
@@ -181,41 +183,83 @@ def _candidates(auto: Automaton, words: Words) -> list[tuple[int, int]]:
     return list(zip(lo[long].tolist(), hi[long].tolist(), strict=True))
 
 
-def find_benchmark_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_words: int = 2_000_000) -> DataFrame:
+def _scan(auto: Automaton, column: pa.Array) -> Iterator[tuple[int, np.ndarray, set[str]]]:
+    """(row, its hit words, items met) for each text in which something matches."""
+    data, offsets = column_bytes(column)
+    for lo, _, part, offs in pieces(data, offsets):
+        words = Words(part, offs, NON_ALNUM, lower=True)
+        hit = np.zeros(len(words.starts), bool)
+        met: dict[int, set[str]] = {}
+        for s, e in _candidates(auto, words):
+            d = int(np.searchsorted(words.bounds, s, "right")) - 1
+            auto.scan(words.hashes[s:e].tolist(), s, hit, met.setdefault(d, set()))
+        for d, items in met.items():
+            own = np.flatnonzero(hit[words.bounds[d] : words.bounds[d + 1]])
+            if len(own):
+                yield lo + d, own, items
+
+
+def _finish(column: pa.Array, found: dict[int, tuple[np.ndarray, set[str]]]) -> list[pa.Array]:
+    """The result columns, from all hits of a batch."""
+    data, offsets = column_bytes(column)
+    valid = column.is_valid().to_pylist()
+    n_words, n_hit, items, clean = [], [], [], []
+    for lo, _, part, offs in pieces(data, offsets):
+        words = Words(part, offs, NON_ALNUM, lower=True)
+        n_words += words.counts.tolist()
+        for d in range(len(offs) - 1):
+            text = part[offs[d] : offs[d + 1]].tobytes()
+            own, met = found.get(lo + d, ((), ()))
+            n_hit.append(len(own))
+            items.append(sorted(met))
+            if len(own):
+                marks = np.zeros(words.counts[d], bool)
+                marks[own] = True
+                text = _without(text, words, d, marks, int(offs[d]))
+            clean.append(text.decode("utf-8") if valid[lo + d] else None)
+    return [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(clean, pa.string())]
+
+
+def find_benchmark_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_words: int = 100_000) -> DataFrame:
     """(row, got): the documents' columns, and n_words, n_hit, items (ids, sorted as strings) and the text without hit spans.
 
     Words are runs of ASCII letters and digits, A-Z lower-cased, and of
     characters beyond ASCII. A null text has no words; its clean text is null.
     Items with the same id count once, items with a null id hit but are not
-    listed. Without items nothing is hit. With several automata each document
-    streams through all of them, in one task but one automaton after the other.
+    listed. Without items nothing is hit. Each automaton is a pass of its own, so
+    that a worker holds one at a time, however large the benchmark is.
     """
     sc = docs.sparkSession.sparkContext
-    shared = [sc.broadcast(a) for a in automata(benchmark, window, max_words)]
-
-    def run(column: pa.Array) -> list[pa.Array]:
-        data, offsets = column_bytes(column)
-        n_words, n_hit, items, clean = [], [], [], []
-        valid = column.is_valid().to_pylist()
-        for lo, _, part, offs in pieces(data, offsets):
-            words = Words(part, offs, NON_ALNUM, lower=True)
-            hit = np.zeros(len(words.starts), bool)
-            met: dict[int, set[str]] = {}
-            for b in shared:
-                for s, e in _candidates(b.value, words):
-                    d = int(np.searchsorted(words.bounds, s, "right")) - 1
-                    b.value.scan(words.hashes[s:e].tolist(), s, hit, met.setdefault(d, set()))
-            n_words += words.counts.tolist()
-            for d in range(len(offs) - 1):
-                text = part[offs[d] : offs[d + 1]].tobytes()
-                own = hit[words.bounds[d] : words.bounds[d + 1]]
-                n = int(own.sum()) if d in met else 0
-                n_hit.append(n)
-                items.append(sorted(met[d]) if n else [])
-                clean.append(None if not valid[lo + d] else (_without(text, words, d, own, int(offs[d])) if n else text).decode("utf-8"))
-        return [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(clean, pa.string())]
-
-    return with_text(docs, run, FIELDS)
+    autos = automata(benchmark, window, max_words)
+    if len(autos) <= 1:
+        only = [sc.broadcast(a) for a in autos]
+        return with_text(docs, lambda c: _finish(c, {i: (own, met) for b in only for i, own, met in _scan(b.value, c)}), FIELDS)
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    seen = docs.select(row, F.col("text").cast("string").alias("text"), F.array().cast("array<int>").alias("hits"), F.array().cast("array<string>").alias("items"))
+    for auto in autos:
+        seen = _pass(seen, sc.broadcast(auto))
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = zip(batch.column("hits").to_pylist(), batch.column("items").to_pylist(), strict=True)
+            cols = _finish(batch.column("text"), {i: (sorted(set(h)), set(m)) for i, (h, m) in enumerate(pairs) if h})
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.StructArray.from_arrays(cols, ["n_words", "n_hit", "items", "clean"])], ["row", "got"])
+
+    return seen.mapInArrow(finish, T.StructType([seen.schema["row"], T.StructField("got", T._parse_datatype_string(f"struct<{FIELDS}>"))]))
+
+
+def _pass(seen: DataFrame, auto) -> DataFrame:
+    """``seen`` with the hits and items of one more automaton."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hits, items = batch.column("hits").to_pylist(), batch.column("items").to_pylist()
+            for i, own, met in _scan(auto.value, batch.column("text")):
+                hits[i] += own.tolist()
+                items[i] += list(met)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("text"), pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], ["row", "text", "hits", "items"])
+
+    return seen.mapInArrow(scan, seen.schema)
 
 
 def _without(text: bytes, words: Words, d: int, own: np.ndarray, base: int) -> bytes:
