@@ -86,7 +86,7 @@ def _card(text: str, key: bytes, inverse: bool) -> str | None:
 
 def _phone(text: str, key: bytes, inverse: bool) -> str | None:
     d = _only_digits(text)
-    if not 10 <= len(d) <= 13:
+    if not 10 <= len(d) <= 15:
         return None
     return _refill(text, d[:-10] + _permuted_digits(d[-10:], key, "phone", inverse))
 
@@ -109,18 +109,28 @@ _FIRST_DAY, _LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(209
 
 
 def _date(text: str, key: bytes, inverse: bool) -> str | None:
+    """Year first, or with dots day first, or with slashes month first, and day first where only that is a date.
+
+    The last kind is permuted among its own: dates with a day above 12.
+    """
     parts = re.split(r"([-/.])", text)
-    order = (0, 2, 4) if len(parts[0]) == 4 else (4, 0, 2) if parts[1] == "/" else (4, 2, 0)
-    try:
-        day = datetime.date(*(int(parts[i]) for i in order)).toordinal()
-    except ValueError:
-        return None
-    if not _FIRST_DAY <= day <= _LAST_DAY:
-        return None
-    new = datetime.date.fromordinal(_FIRST_DAY + feistel(day - _FIRST_DAY, _LAST_DAY - _FIRST_DAY + 1, key, "date", inverse))
-    for i, v in zip(order, (new.year, new.month, new.day), strict=True):
-        parts[i] = f"{v:04d}" if i == order[0] else f"{v:02d}"
-    return "".join(parts)
+    orders = [(0, 2, 4)] if len(parts[0]) == 4 else [(4, 0, 2), (4, 2, 0)] if parts[1] == "/" else [(4, 2, 0)]
+    for tried, order in enumerate(orders):
+        try:
+            day = datetime.date(*(int(parts[i]) for i in order)).toordinal()
+        except ValueError:
+            continue
+        if not _FIRST_DAY <= day <= _LAST_DAY:
+            return None
+        while True:
+            day = _FIRST_DAY + feistel(day - _FIRST_DAY, _LAST_DAY - _FIRST_DAY + 1, key, f"date{tried}", inverse)
+            new = datetime.date.fromordinal(day)
+            if not tried or new.day > 12:
+                break
+        for i, v in zip(order, (new.year, new.month, new.day), strict=True):
+            parts[i] = f"{v:04d}" if i == order[0] else f"{v:02d}"
+        return "".join(parts)
+    return None
 
 
 def _ipv4(text: str, key: bytes, inverse: bool) -> str | None:
@@ -182,8 +192,10 @@ KINDS = (
     Kind("date", r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![0-9/-])", _date),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", _ssn),
     Kind("ipv4", r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])", _ipv4),
-    Kind("card", r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])", _card),
-    Kind("phone", r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9A-Za-z])\+[0-9]{1,3}[0-9]{10}(?![0-9])", _phone),
+    Kind("card", r"(?<![0-9])[0-9]{13,19}(?![0-9])", _card),
+    Kind("card", r"(?<![0-9])[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?:\1[0-9]{3})?(?![0-9])", _card),
+    Kind("card", r"(?<![0-9])[0-9]{4}([ -])[0-9]{6}\1[0-9]{5}(?![0-9])", _card),
+    Kind("phone", r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9A-Za-z])\+[0-9]{1,3}(?:[ .-]?(?:\([0-9]{1,4}\)|[0-9]{2,4})){2,5}(?![0-9])", _phone),
 )
 _COMPILED = [(k, re.compile(k.pattern)) for k in KINDS]
 _TRIGGER = re.compile(r"[0-9]{2}|@")

@@ -259,6 +259,9 @@ def test_pseudonyms_keep_formats_and_invert():
     card = pii._only_digits(new.split(",")[0])
     assert pii.luhn_digit(card[:-1]) == card[-1]
     assert pii.pseudonymise("4539148803436467", key)[0] == card
+    for odd in ("28/02/1987", "31/12/2001", "02/28/1987", "+49 30 1234 5678", "4539148803436467 12", "3782 822463 10005", "4539-1488-0343-6467"):
+        new, spans = pii.pseudonymise(odd, key)
+        assert len(spans) == 1 and new != odd and pii.pseudonymise(new, key, inverse=True)[0] == odd
     for clean in ("order 4539148803436468", "2024-02-30", "999.1.1.1", "version 1.2.3.4.5", "1234567", "666-12-1234"):
         assert pii.pseudonymise(clean, key) == (clean, [])
 
