@@ -9,14 +9,17 @@ overlap of the others is completed over their whole sets.
 
 Steps, none of which makes all pairs of a group:
 
-1. Count sketch of shingles (one pass, 2**20 counters whatever the input).
+1. Count sketch of shingles (one pass, 2**22 counters whatever the input).
 2. Each document's set size, set digest and its row's first columns.
 3. Equal sets collapse to their least document (partial aggregation by digest).
-4. Star rounds: in each column, rows of like size are tried against one hub.
-   Verified links are merged into components. Rounds go on while columns hold
-   many pairs of different components and merging still succeeds.
-5. What is left is exact: every pair of rows of different components that
-   share a column is counted, bounded and verified.
+4. Blocks: rows that stand in a crowded column meet in a block of bounded size
+   (a crowded column is salted into many), whose whole product is taken. Only a
+   spanning forest of the links leaves a block.
+5. Star rounds: in each column, rows of like size are tried against one hub of
+   another component, while columns hold many pairs of different components and a
+   round takes a quarter of them away.
+6. What is left is exact: every pair of rows of different components that
+   share a column is bounded by its overlap there and its sizes, and verified.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,12 +39,17 @@ from .components import components
 from .kernels import SPACES, U64, Words, column_bytes, pieces, shingles
 from .scratch import Scratch, bounded_batches
 
-_BITS = 20
+_BITS = 22
 _CHUNKS = 16
-#: Ids of documents that share a rare shingle are broadcast up to this many; beyond it the same join shuffles.
+#: Tables of ids, postings or shingles are broadcast up to so many of them, after a count; beyond it the same join shuffles.
 BROADCAST_IDS = 1_000_000
 
 
+def _small(df: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(df) if n <= BROADCAST_IDS else df
+
+
+
 def _sets(batch_column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
     """(row, sorted distinct shingle hashes) for each text with a word."""
     data, offsets = column_bytes(batch_column)
@@ -54,7 +63,7 @@ def _sets(batch_column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _sketch(docs: DataFrame, k: int) -> np.ndarray:
-    """For each of 2**20 hash buckets, in how many documents' sets its shingles stand, over all documents."""
+    """For each of 2**22 hash buckets, in how many documents' sets its shingles stand, over all documents."""
     width = (1 << _BITS) // _CHUNKS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,6 +148,7 @@ class _Join:
         self.docs, self.scratch, self.k, self.num, self.den = docs, scratch, k, num, den
         self.sets: DataFrame | None = None
         self.heads: DataFrame | None = None
+        self.n_posts = 0
 
     def like(self, a: str, b: str) -> Column:
         """The sizes allow the threshold."""
@@ -153,26 +163,30 @@ class _Join:
 
     def within_reach(self, pairs: DataFrame) -> DataFrame:
         """Pairs (u, v) whose overlap in the first columns leaves the threshold in reach."""
-        a, b = (self.heads.select(F.col("v").alias(x), F.struct("n", "p", "last", "tokens").alias(y)) for x, y in (("u", "a"), ("v", "b")))
+        a, b = (_small(self.heads.select(F.col("v").alias(x), F.struct("n", "p", "last", "tokens").alias(y)), self.n_posts) for x, y in (("u", "a"), ("v", "b")))
         both = pairs.join(a, "u").join(b, "v")
         return both.where(self.reach(F.size(F.array_intersect("a.tokens", "b.tokens")), "a", "b")).select("u", "v")
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """Pairs (u, v) whose whole sets overlap enough, written. Sets not read before are read from the texts."""
-        pairs = self.scratch.save(pairs)
+        pairs = self.scratch.save(pairs, self.n_posts)
         ids = pairs.select(F.col("u").alias("v")).unionByName(pairs.select("v")).distinct()
         if self.sets is not None:
             ids = ids.join(self.sets.select("v"), "v", "left_anti")
-        ids = self.scratch.save(ids)
+        ids = self.scratch.save(ids, self.n_posts)
         n = ids.count()
         if n or self.sets is None:
-            new = self.scratch.save(_whole_sets(self.docs, F.broadcast(ids) if n <= BROADCAST_IDS else ids, self.k))
+            new = self.scratch.save(_whole_sets(self.docs, _small(ids, n), self.k))
             self.sets = new if self.sets is None else self.scratch.union(self.sets, new)
-        a = self.sets.join(pairs.select(F.col("u").alias("v")).distinct(), "v", "left_semi").select(F.col("v").alias("u"), F.col("shingles").alias("s"))
-        b = self.sets.join(pairs.select("v").distinct(), "v", "left_semi").select("v", F.col("shingles").alias("t"))
+        n_pairs = pairs.count()
+        u, v = (_small(pairs.select(F.col(x).alias("v")).distinct(), n_pairs) for x in "uv")
+        a, b = self.sets.join(u, "v", "left_semi"), self.sets.join(v, "v", "left_semi")
+        held = a.agg(F.sum(F.size("shingles"))).first()[0] or 0, b.agg(F.sum(F.size("shingles"))).first()[0] or 0
+        a = _small(a.select(F.col("v").alias("u"), F.col("shingles").alias("s")), held[0])
+        b = _small(b.select("v", F.col("shingles").alias("t")), held[1])
         overlap = F.size(F.array_intersect("s", "t"))
         both = pairs.join(a, "u").join(b, "v").where(overlap * (self.num + self.den) >= self.num * (F.size("s") + F.size("t")))
-        out = self.scratch.save(both.select("u", "v").distinct())
+        out = self.scratch.save(both.select("u", "v").distinct(), n_pairs)
         self.scratch.drop(pairs)
         self.scratch.drop(ids)
         self.scratch.free()
@@ -188,11 +202,55 @@ class _Join:
         return self.within_reach(counted.groupBy("v").agg(F.max_by("u", F.struct("c", "u")).alias("u")).select("u", "v"))
 
     def crossing(self, posts: DataFrame) -> DataFrame:
-        """All pairs of different components that share a column and are within reach."""
-        a, b = (posts.select("token", "comp", F.struct("v", "n", "p", "last").alias(x)).withColumnRenamed("comp", f"{x}_comp") for x in "ab")
-        met = a.join(b, "token").where("a.v < b.v and a_comp <> b_comp").where(self.like("a.n", "b.n"))
-        counted = met.groupBy("a.v", "b.v").agg(F.count(F.lit(1)).alias("c"), F.first("a").alias("a"), F.first("b").alias("b"))
-        return counted.where(self.reach(F.col("c"), "a", "b")).select(F.col("a.v").alias("u"), F.col("b.v").alias("v"))
+        """All pairs of different components that share a column and are within reach, each made in the first column that it shares."""
+        rows = posts.join(_small(self.heads.select("v", "tokens"), self.n_posts), "v")
+        a, b = (rows.select("token", "comp", F.struct("v", "n", "p", "last", "tokens").alias(x)).withColumnRenamed("comp", f"{x}_comp") for x in "ab")
+        shared = F.array_intersect("a.tokens", "b.tokens")
+        some = F.least(F.size("a.tokens"), F.size("b.tokens"))
+        met = a.join(b, "token").where("a.v < b.v and a_comp <> b_comp").where(self.like("a.n", "b.n") & self.reach(some, "a", "b") & (F.array_min(shared) == F.col("token")) & self.reach(F.size(shared), "a", "b"))
+        return met.select(F.col("a.v").alias("u"), F.col("b.v").alias("v"))
+
+    def blocks(self, posts: DataFrame) -> DataFrame:
+        """Links (u, v) within blocks, a spanning forest of each.
+
+        A row's block is its most crowded column, salted so that about
+        ``BLOCK_ROWS`` rows meet. Rows without a column of ``CROWD`` rows are in none.
+        """
+        home = posts.where(F.col("df") >= CROWD).groupBy("v").agg(F.max(F.struct("df", "token")).alias("h"))
+        home = self.scratch.save(home.select("v", F.col("h.token").alias("home"), F.pmod(F.xxhash64("v"), F.ceil(F.col("h.df") / BLOCK_ROWS)).alias("salt")), self.n_posts)
+        n = home.count()
+        ids = home.select("v")
+        self.sets = self.scratch.save(_whole_sets(self.docs, F.broadcast(ids) if n <= BROADCAST_IDS else ids, self.k))
+        num, den = self.num, self.den
+        found = self.sets.join(_small(home, n), "v").groupBy("home", "salt").applyInPandas(lambda rows: _forest(rows, num, den), "u bigint, v bigint")
+        return self.scratch.save(found)
+
+
+#: A column is crowded from so many rows on, and a block takes about so many.
+CROWD, BLOCK_ROWS = 5, 1024
+
+
+def _forest(rows: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
+    """The product of a block's rows with each other, row by row; only links that join two trees are kept."""
+    ids, sets = rows["v"].to_numpy(np.int64), list(rows["shingles"])
+    sizes = np.array([len(x) for x in sets])
+    _, column = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(sizes)
+    by_column = np.argsort(column, kind="stable")
+    row_of = np.repeat(np.arange(len(sets)), sizes)[by_column]
+    first = np.searchsorted(column[by_column], np.arange(column.max() + 2))
+    up, out = np.arange(len(sets)), []
+    for i in range(len(sets)):
+        mine = column[ends[i] - sizes[i] : ends[i]]
+        lengths = first[mine + 1] - first[mine]
+        total = lengths.sum()
+        at = np.arange(total) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(first[mine], lengths)
+        overlap = np.bincount(row_of[at], minlength=len(sets))
+        for j in np.flatnonzero((overlap * (num + den) >= num * (sizes + sizes[i])) & (up != up[i])):
+            if up[i] != up[j]:
+                out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+                up[up == up[j]] = up[i]
+    return pd.DataFrame(out, columns=["u", "v"], dtype=np.int64)
 
 
 def ngram_jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
@@ -215,25 +273,28 @@ def ngram_jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int
     signed = scratch.save(_signatures(docs, k, num, den))
     classes = signed.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("v"), *(F.first(c).alias(c) for c in ("n", "last", "prefix")))
     posts = classes.select(F.explode("prefix").alias("token"), "v", "n", F.size("prefix").alias("p"), "last")
-    shared = posts.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("token")
+    shared = posts.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     posts = scratch.save(posts.join(shared, "token").withColumn("comp", F.col("v")))
     scratch.free()
-    op.heads = scratch.save(posts.groupBy("v").agg(*(F.first(c).alias(c) for c in ("n", "p", "last")), F.collect_set("token").alias("tokens")))  # p tokens at most
-    n_posts = posts.count()
-    links = found = None
-    for turn in range(1000):
-        new = op.verify(op.stars(posts, turn))
+    op.n_posts = n_posts = posts.count()
+    op.heads = scratch.save(posts.groupBy("v").agg(*(F.first(c).alias(c) for c in ("n", "p", "last")), F.collect_set("token").alias("tokens")), n_posts)  # p tokens at most
+    links, n_links, before = None, 0, math.inf
+    for turn in range(-1, 1000):
+        new = op.blocks(posts) if turn < 0 else op.verify(op.stars(posts, turn))
+        scratch.free()
         some = new.count()
+        n_links += some
         if some:
             links = new if links is None else scratch.union(links, new)
-            found = scratch.save(components(links, scratch))
-            posts = posts.drop("comp").join(found.select(F.col("id").alias("v"), F.col("component").alias("comp")), "v", "left").withColumn("comp", F.coalesce("comp", "v"))
+            found = scratch.save(components(links, scratch), n_links)
+            posts = posts.drop("comp").join(_small(found.select(F.col("id").alias("v"), F.col("component").alias("comp")), 2 * n_links), "v", "left").withColumn("comp", F.coalesce("comp", "v"))
         groups = posts.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("token").agg(F.count(F.lit(1)).alias("g"), F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("mm")).where("g > 1")
-        groups = scratch.save(groups)
-        posts = scratch.save(posts.join(groups.select("token"), "token", "left_semi"))
-        left = groups.agg(F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("mm")) / 2), F.lit(0))).first()[0]
-        if left <= 4 * n_posts or (not some and turn % 2):
+        groups = scratch.save(groups, n_posts)
+        n_groups, left = groups.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("mm")) / 2), F.lit(0))).first()
+        posts = scratch.save(posts.join(_small(groups.select("token"), n_groups), "token", "left_semi"), n_posts)
+        if left <= 4 * n_posts or (turn >= 0 and left > 0.75 * before):
             break
+        before = left
     last = op.verify(op.crossing(posts))
     found = scratch.save(components(last if links is None else scratch.union(links, last), scratch))
     scratch.free()
@@ -259,9 +320,8 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFra
     ids = scratch.save(found.groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("m"), F.max(F.col("doc_id") == F.col("component_id")).alias("stays")).where("m > 1 or not stays"))
     gone, again = ids.where("not stays").select("_id"), ids.where("stays").select("_id")
     n_gone, n_again = gone.count(), again.count()
-    small = lambda df, n: F.broadcast(df) if n <= BROADCAST_IDS else df
     same = F.col("doc_id") == F.col("_id")
-    out = docs.join(small(gone, n_gone), same, "left_anti") if n_gone else docs
+    out = docs.join(_small(gone, n_gone), same, "left_anti") if n_gone else docs
     if not n_again:
         return out
-    return out.join(small(again, n_again), same, "left_anti").unionByName(out.join(small(again, n_again), same, "left_semi").dropDuplicates(["doc_id"]))
+    return out.join(_small(again, n_again), same, "left_anti").unionByName(out.join(_small(again, n_again), same, "left_semi").dropDuplicates(["doc_id"]))

@@ -60,8 +60,10 @@ class Scratch:
         except Exception:  # the session may have gone before the process
             pass
 
-    def save(self, df: DataFrame) -> DataFrame:
-        """Write ``df`` and return a scan of what was written."""
+    def save(self, df: DataFrame, rows: int | None = None) -> DataFrame:
+        """Write ``df`` and return a scan of what was written; of about ``rows`` rows, if given, in files of 50,000 or more."""
+        if rows is not None:
+            df = df.coalesce(max(8, -(-rows // 50_000)))
         self._n += 1
         path = f"{self.root}/{self._n}"
         df.write.parquet(path)
