@@ -198,7 +198,8 @@ KINDS = (
     Kind("phone", r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9A-Za-z])\+[0-9]{1,3}(?:[ .-]?(?:\([0-9]{1,4}\)|[0-9]{2,4})){2,5}(?![0-9])", _phone),
 )
 _COMPILED = [(k, re.compile(k.pattern)) for k in KINDS]
-_TRIGGER = re.compile(r"[0-9]{2}|@")
+#: What a valid value of any kind holds: two digits in a row, the @ of an address, or a dot between one-digit octets.
+_TRIGGER = re.compile(r"[0-9]{2}|[0-9]\.[0-9]|@")
 
 
 def find(text: str) -> list[tuple[int, int, Kind]]:

@@ -266,6 +266,17 @@ def test_pseudonyms_keep_formats_and_invert():
         assert pii.pseudonymise(clean, key) == (clean, [])
 
 
+def test_lone_addresses_of_single_digits_are_replaced():
+    key = pii.derive_key("k")
+    for lone in ("8.8.8.8", "1.1.1.1", "at 8.8.8.8, say"):
+        new, spans = pii.pseudonymise(lone, key)
+        assert [k for k, _, _ in spans] == ["ipv4"] and new != lone and pii.pseudonymise(new, key, inverse=True)[0] == lone
+        s, e = spans[0][1:]
+        with_year, year_spans = pii.pseudonymise(f"{lone} 2020", key)
+        assert year_spans == spans and with_year == f"{new} 2020" and lone[s:e] not in new
+    assert pii.pseudonymise("v 1.2.3", key) == ("v 1.2.3", [])
+
+
 def test_pseudonym_table(spark):
     docs = table(spark, [*EDGE, PRIVATE, PRIVATE])
     got = {r.doc_id: r.text for r in pii.replace_text(docs, "k").collect()}
