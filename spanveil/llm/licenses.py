@@ -5,12 +5,15 @@ positions where it stands in license templates. A copy of a template puts its
 hits on one diagonal (position in the text minus position in the template); an
 edit shifts the rest to a neighbouring one. Hits are counted by diagonal,
 neighbouring diagonals merge, and a merged span is verified by how much of the
-template it covers.
+template it covers. An edit of more words puts the rest on a diagonal further
+off; so hits of all diagonals that follow each other in text and template,
+within the same stretch, are verified together as well.
 """
 
 from __future__ import annotations
 
 import string
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -78,13 +81,31 @@ def template_positions(spark: SparkSession, templates: tuple[tuple[str, str], ..
     return spark.createDataFrame(rows, "gram string, template int, label string, at int, grams int")
 
 
+def _longest_chain(hits: Column, grams: Column, repeats: int) -> Column:
+    """The most hits, of (pos, at) sorted, that rise in both within a stretch of less than twice the grams."""
+
+    def from_hit(first: Column, i: Column) -> Column:
+        near = F.filter(F.slice(hits, i + 1, grams * (2 * repeats)), lambda h: h["pos"] - first["pos"] < grams * 2)
+
+        def step(chains: Column, h: Column) -> Column:
+            before = F.filter(chains, lambda c: (c["pos"] < h["pos"]) & (c["at"] < h["at"]))
+            n = F.coalesce(F.array_max(F.transform(before, lambda c: c["n"])), F.lit(0)) + 1
+            return F.concat(chains, F.array(F.struct(n.alias("n"), h["pos"].alias("pos"), h["at"].alias("at"))))
+
+        chains = F.aggregate(near, F.array().cast("array<struct<n:int,pos:int,at:int>>"), step)
+        return F.array_max(F.transform(chains, lambda c: c["n"]))
+
+    return F.array_max(F.transform(hits, from_hit))
+
+
 def scan_licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, k: int = 3, drift: int = 2, least: float = 0.75) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score), a row for each document.
 
     Base: all places where a phrase's words stand in a row. The method adds the
-    labels of templates of which a span covers at least ``least`` of the k-grams;
-    score is the greatest coverage of any template, 0 without a hit. Diagonals
-    not more than ``drift`` apart merge. Null and empty texts have no words and
+    labels of templates of which a span, or a chain of hits over any diagonals,
+    covers at least ``least`` of the k-grams; score is the greatest coverage of
+    any template by one span, 0 without a hit. Diagonals not more than ``drift``
+    apart merge to a span. Null and empty texts have no words and
     no labels. Rows that repeat a doc_id are told apart by their texts; rows that
     repeat both have equal results. Templates shorter than k words can't hit.
     """
@@ -108,10 +129,15 @@ def scan_licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMP
     # Neighbouring diagonals merge.
     order = Window.partitionBy(*key).orderBy("diagonal")
     apart = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(order) > drift).cast("int"), F.lit(1))
-    merged = diagonals.withColumn("apart", apart).withColumn("span", F.sum("apart").over(order)).groupBy(*key, "span").agg(F.sum("votes").alias("votes"), F.min("start").alias("start"), F.max("end").alias("end"), F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("covered"))
+    merged = diagonals.withColumn("apart", apart).withColumn("span", F.sum("apart").over(order)).groupBy(*key, "span").agg(F.sum("votes").alias("votes"), F.min("start").alias("start"), F.max("end").alias("end"), F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("covered"), F.flatten(F.collect_list(F.transform("ats", lambda at: F.struct((at + F.col("diagonal")).alias("pos"), at.alias("at"))))).alias("hits"))
     # Verified: coverage, over a stretch of about the template's length.
     scored = merged.withColumn("score", F.col("covered") / F.col("grams")).withColumn("sound", (F.col("score") >= least) & (F.col("end") - F.col("start") < F.col("grams") * 2))
-    best = scored.groupBy("doc_id", "told").agg(F.max("score").alias("score"), F.collect_set(F.when(F.col("sound"), F.col("label"))).alias("more"))
+    # Chains over diagonals further apart, where the hits of all spans suffice and those of one don't.
+    whole = scored.groupBy(*key).agg(F.max("score").alias("score"), F.max("sound").alias("sound"), F.sum("covered").alias("covered"), F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"))
+    repeats = max((n for _, text in templates for n in Counter(zip(*(text.split()[j:] for j in range(k)))).values()), default=1)
+    open_ = ~F.col("sound") & (F.col("covered") >= F.col("grams") * least)
+    whole = whole.withColumn("sound", F.when(open_, _longest_chain(F.col("hits"), F.col("grams"), repeats) >= F.col("grams") * least).otherwise(F.col("sound")))
+    best = whole.groupBy("doc_id", "told").agg(F.max("score").alias("score"), F.collect_set(F.when(F.col("sound"), F.col("label"))).alias("more"))
     best = best.withColumnsRenamed({"doc_id": "_id", "told": "_told"})
     out = base.join(best, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("told").eqNullSafe(F.col("_told")), "left")
     labels = F.array_sort(F.array_union("base_set", F.coalesce("more", F.array().cast("array<string>"))))

@@ -399,6 +399,22 @@ def test_license_labels(spark):
     assert "Python" not in licenses.scan_licenses(table(spark, texts))._jdf.queryExecution().executedPlan().toString()
 
 
+def test_licenses_with_words_put_in(spark):
+    gnu = "you can redistribute it and/or modify it under the terms of {} as published by the Free Software Foundation"
+    bsd = licenses.TEMPLATES[9][1].split()
+    texts = [
+        gnu.format("version 2.1 of the GNU Lesser General Public License"),
+        gnu.format("version 3 of the GNU Affero General Public License"),
+        " ".join([*bsd[:10], *"as is or as changed by you".split(), *bsd[10:]]) + " x y z" * 40 + " and use in source and",
+        " ".join([*bsd[:5], *bsd[10:]]),
+        " ".join([*bsd[12:], *bsd[:12]]),
+        " ".join([*bsd[:10], *("other " * 60).split(), *bsd[10:]]),
+    ]
+    got = {r.doc_id: r for r in licenses.scan_licenses(table(spark, texts)).collect()}
+    assert "lgpl" in got[0].labels.split(",") and "agpl" in got[1].labels.split(",") and got[2].labels == "bsd"
+    assert got[3].labels == "" and got[4].labels == "" and got[5].labels == "" and got[0].score < 0.75
+
+
 def test_license_rows_with_equal_ids(spark):
     docs = table(spark, ["under the mit license", "under the mit license", "no", None], [7, 7, 7, None])
     assert sorted((r.doc_id is None, r.labels) for r in licenses.scan_licenses(docs).collect()) == [(False, ""), (False, "mit"), (False, "mit"), (True, "")]
