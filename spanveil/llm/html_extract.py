@@ -3,7 +3,8 @@
 A page is a row of tokens: words score above 0, tags below, with weights learned
 as log odds from pages whose own markup says where the article is (an article or
 main element). Tokens in elements that are never content (menus, forms, scripts,
-adverts, reader comments and so on) are left out first. One linear scan finds
+adverts, reader comments and so on) are left out first, those told by their names
+alone only if they don't hold the article or most of its words. One linear scan finds
 the contiguous region of the greatest score; the region's article, or else the
 innermost element around it, gives the text, block by block.
 """
@@ -54,6 +55,7 @@ class _Element:
     tag: str
     parent: int
     dropped: bool
+    named: bool = False
 
 
 @dataclass
@@ -65,26 +67,55 @@ class Page:
     blocks: list[list[str]] = field(default_factory=lambda: [[]])
 
 
-def _says_boilerplate(tag: str, attrs: str, in_article: bool) -> bool:
+def _says_boilerplate(tag: str, attrs: str, in_article: bool) -> str | None:
+    """"never" if the element is never content, "named" if only its names say so."""
     if tag in NEVER or (tag == "header" and not in_article):
-        return True
+        return "never"
     if tag in ("html", "body", "article", "main") and "omment" not in attrs:
-        return False
+        return None
     if not attrs:
-        return False
+        return None
+    named = None
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
+            return "never"
         if name != "aria-label":
             words = {p.lower() for p in _PIECE.findall(value)}
             if words & BOILERPLATE or (not in_article and words & HEADER):
-                return True
-    return False
+                named = "named"
+    return named
+
+
+def _rich(page: Page) -> set[int]:
+    """Named elements that hold content all the same, on a page parsed without regard to names.
+
+    They hold an article, or else more than half of the unlinked words of their
+    article, or of a page that has none.
+    """
+    n = len(page.elements)
+    words, articles, scope, linked = [0] * n, [0] * n, [0] * n, [False] * n
+    for i, e in enumerate(page.elements[1:], 1):
+        up = e.parent
+        linked[i] = e.tag == "a" or linked[up]
+        scope[i] = up if page.elements[up].tag in ("article", "main") else scope[up]
+        articles[i] = int(e.tag in ("article", "main") and not e.dropped and not e.named)
+    for e, _, count, _ in page.events:
+        words[e] += 0 if linked[e] else count
+    for i in range(n - 1, 0, -1):
+        words[page.elements[i].parent] += words[i]
+        articles[page.elements[i].parent] += articles[i]
+    return {i for i, e in enumerate(page.elements) if e.named and (articles[i] or ((scope[i] or not articles[0]) and 2 * words[i] > words[scope[i]]))}
 
 
 def parse(text: str) -> Page:
-    """The page's elements and events. Unclosed and misnested tags are taken as a browser would, roughly."""
+    """The page's elements and events, without those of boilerplate."""
+    page = _parse(text, None)
+    return _parse(text, _rich(page)) if any(e.named for e in page.elements) else page
+
+
+def _parse(text: str, rich: set[int] | None) -> Page:
+    """Unclosed and misnested tags are taken as a browser would, roughly. Named elements stay if they are ``rich``; all, if that is None."""
     page, stack, articles = Page(), [0], 0
     elements, events = page.elements, page.events
     broke = False
@@ -135,12 +166,13 @@ def parse(text: str) -> Page:
                 if other in SECTIONS or other in ("ul", "ol", "table", "dl", "tbody"):
                     break
         parent = stack[-1]
-        dropped = elements[parent].dropped or _says_boilerplate(tag, m["attrs"], articles > 0)
+        says = _says_boilerplate(tag, m["attrs"], articles > 0)
+        dropped = elements[parent].dropped or says == "never" or (says == "named" and rich is not None and len(elements) not in rich)
         if not dropped:
             events.append((parent, tag, 0, -1))
         if tag in VOID or m["attrs"].endswith("/"):
             continue
-        elements.append(_Element(tag, parent, dropped))
+        elements.append(_Element(tag, parent, dropped, says == "named"))
         stack.append(len(elements) - 1)
         articles += tag in ("article", "main")
     return page

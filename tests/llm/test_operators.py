@@ -286,6 +286,15 @@ def test_main_text():
     assert [html_extract.main_text(x) for x in (None, "", "<p", "<nav>x</nav>", "a < b")] == ["", "", "", "", "a < b"]
 
 
+@pytest.mark.parametrize("name", ["elementor-widget elementor-widget-theme-post-content", "content no-sidebar", "entry-content has-comments"])
+def test_names_do_not_lose_the_main_text(name):
+    body, side = "<p>" + "word " * 60 + "</p>", "<div class=widget><p>some other words</p></div>"
+    for page in (f"<article><div class='{name}'>{body}</div>{side}</article>", f"<div class='{name}'><article>{body}{side}</article></div>{side}", f"<div class='{name}'>{body}</div>{side}"):
+        assert html_extract.main_text(page) == ("word " * 60).strip()
+    long = "<section id=comments><p>" + "reply " * 300 + "</p></section>"
+    assert html_extract.main_text(f"<article>{body}</article>{long}") == ("word " * 60).strip()
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.text(alphabet=st.sampled_from(list("ab<>/p \n\"'=!-&;")), max_size=60))
 def test_any_markup_is_survived(source):
