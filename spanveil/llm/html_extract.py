@@ -1,12 +1,15 @@
 """Main text of web pages as a maximum-scoring subsequence of their tokens.
 
-A page is a row of tokens: words score above 0, tags below, with weights learned
-as log odds from pages whose own markup says where the article is (an article or
-main element). Tokens in elements that are never content (menus, forms, scripts,
-adverts, reader comments and so on) are left out first, those told by their names
-alone only if they don't hold the article or most of its words. One linear scan finds
-the contiguous region of the greatest score; the region's article, or else the
-innermost element around it, gives the text, block by block.
+A page is a row of tokens, and each token has a class: a word by the block it
+stands in, by whether it is a link, or by what its element is (menus, forms,
+adverts and so on); a tag by its name. Words score above 0 and tags below; words
+in elements that are never content, or whose names say boilerplate, score below
+0 too. Weights are log odds of the classes in and out of the article, counted on
+pages whose own markup says where it is (an article or main element). One linear
+scan finds the contiguous region of the greatest score, and that region's words,
+without those of boilerplate, are the text, block by block. Where a page marks
+its article, the mark is part of its tokens' classes, and the scan decides there
+as it does on pages without marks.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ import html
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -22,11 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .rows import with_text
+from .scratch import bounded_batches
 
+#: Attributes up to the end of a tag; a < outside of quotes ends the attempt, so that broken markup takes linear time.
+_ATTRS = r"[^<>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^<>\"']*)*"
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|title|iframe|xmp|noembed|noframes)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\b[^>]*>|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
+    rf"|<(?P<raw>script|style|noscript|template|textarea|title|iframe|xmp|noembed|noframes)\b{_ATTRS}>.*?(?:</(?P=raw)\b[^>]*>|\Z)"
+    rf"|<(?P<close>/?)(?P<tag>[A-Za-z][^\s/><]*)(?P<attrs>{_ATTRS})>"
     r"|<[!?/][^>]*(?:>|\Z)"
     r"|<[A-Za-z][^<>]*\Z"
     r"|(?P<text>[^<]+|<)",
@@ -50,21 +57,26 @@ HEADER = frozenset("header".split())
 # End of the fixed values.
 
 
+#: Tags with a class of their own; all others share one, so that classes are bounded.
+KNOWN = VOID | INLINE | NEVER | SECTIONS | CLOSES_P | HEADER | frozenset("html caption dd dt li option summary tbody td tfoot th thead tr".split())
+MARKS = ("article", "main")
+
+
 @dataclass
 class _Element:
     tag: str
     parent: int
-    dropped: bool
+    never: bool = False
     named: bool = False
 
 
 @dataclass
 class Page:
-    """Elements, and events: (element, tag event or None, words, block)."""
+    """Elements, and tokens: (element, tag or None, number of words, block). A block is a list of (element, text)."""
 
-    elements: list[_Element] = field(default_factory=lambda: [_Element("", -1, False)])
+    elements: list[_Element] = field(default_factory=lambda: [_Element("", -1)])
     events: list[tuple[int, str | None, int, int]] = field(default_factory=list)
-    blocks: list[list[str]] = field(default_factory=lambda: [[]])
+    blocks: list[list[tuple[int, str]]] = field(default_factory=lambda: [[]])
 
 
 def _says_boilerplate(tag: str, attrs: str, in_article: bool) -> str | None:
@@ -87,58 +99,27 @@ def _says_boilerplate(tag: str, attrs: str, in_article: bool) -> str | None:
     return named
 
 
-def _rich(page: Page) -> set[int]:
-    """Named elements that hold content all the same, on a page parsed without regard to names.
-
-    They hold an article, or else more than half of the unlinked words of their
-    article, or of a page that has none.
-    """
-    n = len(page.elements)
-    words, articles, scope, linked = [0] * n, [0] * n, [0] * n, [False] * n
-    for i, e in enumerate(page.elements[1:], 1):
-        up = e.parent
-        linked[i] = e.tag == "a" or linked[up]
-        scope[i] = up if page.elements[up].tag in ("article", "main") else scope[up]
-        articles[i] = int(e.tag in ("article", "main") and not e.dropped and not e.named)
-    for e, _, count, _ in page.events:
-        words[e] += 0 if linked[e] else count
-    for i in range(n - 1, 0, -1):
-        words[page.elements[i].parent] += words[i]
-        articles[page.elements[i].parent] += articles[i]
-    return {i for i, e in enumerate(page.elements) if e.named and (articles[i] or ((scope[i] or not articles[0]) and 2 * words[i] > words[scope[i]]))}
-
-
 def parse(text: str) -> Page:
-    """The page's elements and events, without those of boilerplate."""
-    page = _parse(text, None)
-    return _parse(text, _rich(page)) if any(e.named for e in page.elements) else page
-
-
-def _parse(text: str, rich: set[int] | None) -> Page:
-    """Unclosed and misnested tags are taken as a browser would, roughly. Named elements stay if they are ``rich``; all, if that is None."""
-    page, stack, articles = Page(), [0], 0
+    """The page's elements and tokens. Unclosed and misnested tags are taken as a browser would, roughly."""
+    page, stack, open_ = Page(), [0], Counter()
     elements, events = page.elements, page.events
     broke = False
 
     def pop_to(depth: int) -> None:
-        nonlocal articles
         while len(stack) > depth:
-            articles -= elements[stack.pop()].tag in ("article", "main")
+            open_[elements[stack.pop()].tag] -= 1
 
     for m in _TOKEN.finditer(text):
         part = m["text"]
         if part is not None:
-            top = stack[-1]
-            if elements[top].dropped:
-                continue
             part = html.unescape(part)
             if broke and page.blocks[-1]:
                 page.blocks.append([])
             broke = False
-            page.blocks[-1].append(part)
+            page.blocks[-1].append((stack[-1], part))
             n = len(part.split())
             if n:
-                events.append((top, None, n, len(page.blocks) - 1))
+                events.append((stack[-1], None, n, len(page.blocks) - 1))
             continue
         tag = m["tag"]
         if tag is None:
@@ -148,61 +129,113 @@ def _parse(text: str, rich: set[int] | None) -> Page:
         if tag not in INLINE:
             broke = True
         elif tag == "br" and page.blocks[-1] and not broke:
-            page.blocks[-1].append(" ")
+            page.blocks[-1].append((stack[-1], " "))
         if closing:
-            at = next((i for i in range(len(stack) - 1, 0, -1) if elements[stack[i]].tag == tag), 0)
-            if at:
-                if not elements[stack[-1]].dropped:
-                    events.append((stack[at], "/" + tag, 0, -1))
+            if open_[tag] > 0:
+                at = next(i for i in range(len(stack) - 1, 0, -1) if elements[stack[i]].tag == tag)
+                events.append((stack[at], "/" + tag, 0, -1))
                 pop_to(at)
             continue
         if tag in CLOSES_P or tag in ("li", "td", "th", "tr", "dt", "dd", "option"):
-            same = "p" if tag in CLOSES_P else tag
-            for i in range(len(stack) - 1, 0, -1):
-                other = elements[stack[i]].tag
-                if other == same or (same in ("td", "th") and other in ("td", "th")) or (same in ("dt", "dd") and other in ("dt", "dd")):
-                    pop_to(i)
-                    break
-                if other in SECTIONS or other in ("ul", "ol", "table", "dl", "tbody"):
-                    break
+            same = ("td", "th") if tag in ("td", "th") else ("dt", "dd") if tag in ("dt", "dd") else ("p",) if tag in CLOSES_P else (tag,)
+            if any(open_[x] > 0 for x in same):
+                for i in range(len(stack) - 1, 0, -1):
+                    other = elements[stack[i]].tag
+                    if other in same:
+                        pop_to(i)
+                        break
+                    if other in SECTIONS or other in ("ul", "ol", "table", "dl", "tbody"):
+                        break
         parent = stack[-1]
-        says = _says_boilerplate(tag, m["attrs"], articles > 0)
-        dropped = elements[parent].dropped or says == "never" or (says == "named" and rich is not None and len(elements) not in rich)
-        if not dropped:
-            events.append((parent, tag, 0, -1))
+        events.append((parent, tag, 0, -1))
         if tag in VOID or m["attrs"].endswith("/"):
             continue
-        elements.append(_Element(tag, parent, dropped, says == "named"))
+        says = _says_boilerplate(tag, m["attrs"], any(open_[x] > 0 for x in MARKS))
+        elements.append(_Element(tag, parent, elements[parent].never or says == "never", says == "named"))
         stack.append(len(elements) - 1)
-        articles += tag in ("article", "main")
+        open_[tag] += 1
     return page
 
 
-def _ancestors(page: Page, e: int) -> list[int]:
-    out = []
-    while e > 0:
-        out.append(e)
-        e = page.elements[e].parent
-    return out
-
-
-#: Weights where no labelled page is at hand.
-DEFAULT_WEIGHTS = {"word": 1.0, "link word": 0.2, "tag": -3.0}
+@dataclass
+class Layout:
+    """What a page's structure says of each element: a link or in one, boilerplate, in its marked article (None: the page marks none), and its block's tag."""
 
+    linked: list[bool]
+    junk: list[str | None]
+    inside: list[bool] | None
+    block: list[str]
 
-def _classes(page: Page) -> list[tuple[str, int]]:
-    """(token class, count) of each event."""
-    linked = [False] * len(page.elements)
-    for i, e in enumerate(page.elements):
-        linked[i] = e.tag == "a" or (e.parent >= 0 and linked[e.parent])
-    return [(tag, 1) if tag else ("link word" if linked[e] else "word", n) for e, tag, n, _ in page.events]
 
+def layout(page: Page) -> Layout:
+    """A named element is boilerplate unless it is rich: it holds an article, or else more than half of the unlinked words of its article, or of a page that has none.
 
-def best_region(page: Page, weights: dict[str, float]) -> tuple[int, int] | None:
-    """First and last event of the region with the greatest sum; None if no word is there."""
+    A page marks its article if its article elements, or else its main elements,
+    hold at least half of the unlinked words that aren't boilerplate.
+    """
+    elements, n = page.elements, len(page.elements)
+    words, articles, scope, linked, block = [0] * n, [0] * n, [0] * n, [False] * n, [""] * n
+    for i, e in enumerate(elements[1:], 1):
+        up = e.parent
+        linked[i] = e.tag == "a" or linked[up]
+        scope[i] = up if elements[up].tag in MARKS else scope[up]
+        articles[i] = int(e.tag in MARKS and not e.never and not e.named)
+        block[i] = block[up] if e.tag in INLINE else e.tag
+    own = [0] * n
+    for e, _, count, _ in page.events:
+        own[e] += 0 if linked[e] or elements[e].never else count
+    words = list(own)
+    for i in range(n - 1, 0, -1):
+        words[elements[i].parent] += words[i]
+        articles[elements[i].parent] += articles[i]
+    junk: list[str | None] = [None] * n
+    for i, e in enumerate(elements[1:], 1):
+        rich = articles[i] or ((scope[i] or not articles[0]) and 2 * words[i] > words[scope[i]])
+        junk[i] = "never" if e.never else "named" if (e.named and not rich) or junk[e.parent] == "named" else None
+    clean = sum(own[i] for i in range(n) if not junk[i])
+    for mark in MARKS:
+        inside = [False] * n
+        for i, e in enumerate(elements[1:], 1):
+            inside[i] = inside[e.parent] or (e.tag == mark and not junk[i])
+        held = sum(own[i] for i in range(n) if inside[i] and not junk[i])
+        if held and 2 * held >= clean:
+            return Layout(linked, junk, inside, block)
+    return Layout(linked, junk, None, block)
+
+
+def _classes(page: Page, of: Layout, marks: bool = True) -> Iterator[tuple[str, int]]:
+    """(token class, count) of each token; ``marks``: the page's own article, if it marks one, is looked at."""
+    marked = of.inside if marks else None
+    for e, tag, n, _ in page.events:
+        junk = of.junk[e]
+        if tag:
+            name = tag.lstrip("/")
+            within = marked[e] and name not in MARKS if marked else False
+            kind = ("inner junk" if within else "junk tag") if junk else ("article tag" if within else "beside tag") if marked else f"tag {tag if name in KNOWN else 'other'}"
+            yield kind, 1
+        elif junk:
+            yield "inner junk" if marked and marked[e] else f"{junk} word", n
+        elif marked:
+            yield "article word" if marked[e] else "beside word", n
+        else:
+            yield f"{'link' if of.linked[e] else 'word'} {of.block[e] if of.block[e] in KNOWN else 'other'}", n
+
+
+#: Weights of kinds of tokens; a class without a weight of its own has that of its first word.
+DEFAULT_WEIGHTS = {"word": 1.0, "link": -0.2, "tag": -0.5, "never word": -0.5, "named word": -0.5, "junk tag": -0.5, "inner junk": -0.01, "article word": 1.0, "article tag": -0.01, "beside word": -3.0, "beside tag": -3.0}
+#: What words, tags and boilerplate weigh at least and at most. Boilerplate may stand amid the text, so it costs less than what is beside an article.
+WORD_RANGE, TAG_RANGE, JUNK_RANGE = (-3.0, 1.0), (-3.0, -0.01), (-0.5, 1.0)
+
+
+def token_weights(page: Page, of: Layout, weights: dict[str, float]) -> list[float]:
+    """The score of each token of a page."""
+    return [n * (weights[name] if name in weights else weights[name.partition(" ")[0]]) for name, n in _classes(page, of)]
+
+
+def best_region(scores: list[float]) -> tuple[int, int] | None:
+    """First and last token of the region with the greatest sum above 0, the earliest and shortest of several; None without one."""
     best, found, total, start = 0.0, None, 0.0, 0
-    for i, (name, n) in enumerate(_classes(page)):
-        w = weights.get(name, weights["tag"]) * n
+    for i, w in enumerate(scores):
         if total <= 0:
             total, start = 0.0, i
         total += w
@@ -212,61 +245,85 @@ def best_region(page: Page, weights: dict[str, float]) -> tuple[int, int] | None
 
 
 def main_text(source: str | None, weights: dict[str, float] = DEFAULT_WEIGHTS) -> str:
-    """Blocks of the main text joined by newlines, white space inside a block as one space; empty without any."""
+    """Blocks of the main text joined by newlines, white space inside a block as one space; empty without any.
+
+    Of boilerplate inside the region nothing is taken, if its words weigh below 0.
+    """
     if not source:
         return ""
     page = parse(source)
-    region = best_region(page, weights)
+    of = layout(page)
+    region = best_region(token_weights(page, of, weights))
     if region is None:
         return ""
-    words = [(i, e, b) for i, (e, tag, n, b) in enumerate(page.events) if not tag]
-    inner = [e for i, e, _ in words if region[0] <= i <= region[1]]
-    common = _ancestors(page, inner[0])
-    for e in inner[1:]:
-        up = set(_ancestors(page, e))
-        common = [c for c in common if c in up]
-    tags = [page.elements[c].tag for c in common]
-    whole = next((c for name in ("article", "main") for c, t in zip(common, tags, strict=True) if t == name), None)
-    if whole is None:
-        whole = next((c for c, t in zip(common, tags, strict=True) if t in SECTIONS and t not in ("body", "html")), None)
-    if whole is None:
-        blocks = {b for i, _, b in words if region[0] <= i <= region[1]}
-    else:
-        blocks = {b for _, e, b in words if whole in _ancestors(page, e)}
-    return "\n".join(" ".join("".join(page.blocks[b]).split()) for b in sorted(blocks))
-
-
-def learn_weights(pages: DataFrame, html_column: str = "html", most: int = 2000) -> dict[str, float]:
-    """Log odds of each token class in and out of the article, from pages that mark theirs with an article or main element.
-
-    At most ``most`` pages, those with the least hash of their source, are
-    fetched. Words keep a weight above 0 and tags one below, each at most 6 in
-    size. Without such pages the default weights are returned.
+    out_of_place = {k.split()[0] for k in ("never word", "named word") if weights.get(k, 0.0) < 0}
+    blocks = sorted({b for _, tag, _, b in page.events[region[0] : region[1] + 1] if not tag})
+    texts = (" ".join("".join(t for e, t in page.blocks[b] if of.junk[e] not in out_of_place).split()) for b in blocks)
+    return "\n".join(t for t in texts if t)
+
+
+def class_counts(source: str) -> Counter:
+    """{(token class, in the article): count} of a page that marks its article; empty for others.
+
+    Each token counts in its class with the mark, in that without it, and in its kind.
     """
-    source = F.col(f"`{html_column}`").cast("string")
-    labelled = pages.select(source.alias("html")).where(F.col("html").rlike("(?i)<(article|main)[\\s>]"))
-    inside, outside = Counter(), Counter()
-    for r in labelled.orderBy(F.xxhash64("html")).limit(most).collect():
-        page = parse(r["html"])
-        held = [False] * len(page.elements)
-        for i, e in enumerate(page.elements):
-            held[i] = e.tag in ("article", "main") or (e.parent >= 0 and held[e.parent])
-        for (e, _, _, _), (name, n) in zip(page.events, _classes(page), strict=True):
-            (inside if held[e] and name not in ("/article", "/main") else outside)[name] += n
-    if not inside:
-        return dict(DEFAULT_WEIGHTS)
-    names, n_in, n_out = set(inside) | set(outside), sum(inside.values()), sum(outside.values())
-    out = {"tag": DEFAULT_WEIGHTS["tag"]}
-    for name in names | {"word", "link word"}:
-        odds = math.log((inside[name] + 1) / (n_in + 1)) - math.log((outside[name] + 1) / (n_out + 1))
-        is_word = name in ("word", "link word")
-        size = min(6.0, max(0.05 if is_word else 0.5, odds if is_word else -odds))
-        out[name] = size if is_word else -size
+    out: Counter = Counter()
+    page = parse(source)
+    of = layout(page)
+    if of.inside is None:
+        return out
+    for (e, tag, n, _), (marked, _), (plain, _) in zip(page.events, _classes(page, of), _classes(page, of, False), strict=True):
+        n, inside = n or 1, of.inside[e] and not of.junk[e] and (tag or "").lstrip("/") not in MARKS
+        kind = ("tag" if tag else "link" if of.linked[e] else "word") if not of.junk[e] or of.linked[e] else None
+        for name in {marked, plain, kind} - {None, "inner junk"}:
+            out[name, inside] += n
+    return out
+
+
+def learn_weights(pages: DataFrame, html_column: str = "html") -> dict[str, float]:
+    """Log odds of each token class in and out of the article, over all pages that mark theirs.
+
+    Classes are counted by the executors and summed up; a row for each class, of
+    which there are a few hundred at most, reaches the driver. Words weigh within
+    ``WORD_RANGE``, tags within ``TAG_RANGE``, boilerplate down to ``JUNK_RANGE``. What no page tells keeps its default.
+    """
+    bounded_batches(pages.sparkSession)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: Counter = Counter()
+        for batch in batches:
+            for source in batch.column("html").to_pylist():
+                total.update(class_counts(source))
+        if total:
+            names, inside = zip(*total, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(inside), pa.array(list(total.values()), pa.int64())], ["name", "inside", "n"])
+
+    marked = pages.select(F.col(f"`{html_column}`").cast("string").alias("html")).where(F.col("html").rlike(r"(?i)<(?:article|main)[\s>]"))
+    rows = marked.mapInArrow(count, "name string, inside boolean, n bigint").groupBy("name", "inside").agg(F.sum("n").alias("n")).collect()
+    return weights_of({(r["name"], r["inside"]): r["n"] for r in rows})
+
+
+def weights_of(counts: dict[tuple[str, bool], int]) -> dict[str, float]:
+    """Weights from the counts of ``class_counts``; words and tags are weighed each among themselves."""
+    out = dict(DEFAULT_WEIGHTS)
+    is_tag = lambda name: name == "tag" or name.startswith("tag ") or name.endswith(" tag")
+    for tags, (least, most) in ((False, WORD_RANGE), (True, TAG_RANGE)):
+        names = sorted({name for name, _ in counts if is_tag(name) == tags})
+        total = [sum(counts.get((name, inside), 0) for name in names) + len(names) for inside in (False, True)]
+        for name in names:
+            n_in, n_out = counts.get((name, True), 0) + 1, counts.get((name, False), 0) + 1
+            least_here = JUNK_RANGE[0] if name in ("never word", "named word", "junk tag") else least
+            out[name] = min(most, max(least_here, math.log(n_in / total[1]) - math.log(n_out / total[0])))
     return out
 
 
 def extract(pages: DataFrame, html_column: str = "html", keep: list[str] | None = None, weights: dict[str, float] | None = None) -> DataFrame:
-    """(row, got): the kept columns, and text and n_chars (code points). Null or empty pages have an empty text."""
+    """(row, got): the kept columns, and text and n_chars (code points).
+
+    Null and empty pages, and pages without a word that scores above 0, have an
+    empty text. Repeated rows have equal texts, and an empty table gives an empty
+    one. Any markup is read in linear time. Other columns pass through.
+    """
     weights = learn_weights(pages, html_column) if weights is None else weights
 
     def run(column: pa.Array) -> list[pa.Array]:
