@@ -13,8 +13,9 @@ import datetime
 import hashlib
 import math
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -105,30 +106,47 @@ def _ssn(text: str, key: bytes, inverse: bool) -> str | None:
     return f"{_SSN_AREAS[area]:03d}{text[3]}{group + 1:02d}{text[6]}{serial + 1:04d}"
 
 
-_FIRST_DAY, _LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
+_YEARS = range(1900, 2100)
 
 
-def _date(text: str, key: bytes, inverse: bool) -> str | None:
-    """Year first, or with dots day first, or with slashes month first, and day first where only that is a date.
+@lru_cache(1)
+def _dates() -> tuple[dict[tuple[bool, int], list[datetime.date]], dict[datetime.date, int]]:
+    """All dates by class, and each one's rank in its class.
 
-    The last kind is permuted among its own: dates with a day above 12.
+    A class fixes how many digits month and day take, and whether the day is
+    above 12. So a date keeps the width of its fields, stays one that is read day
+    first or month first as before, and has one pseudonym under any spelling.
     """
+    classes: dict[tuple[bool, int], list[datetime.date]] = {}
+    rank = {}
+    day = datetime.date(_YEARS[0], 1, 1)
+    while day.year < _YEARS.stop:
+        own = classes.setdefault(_date_class(day), [])
+        rank[day] = len(own)
+        own.append(day)
+        day += datetime.timedelta(1)
+    return classes, rank
+
+
+def _date_class(day: datetime.date) -> tuple[bool, int]:
+    return day.month > 9, (day.day > 9) + (day.day > 12)
+
+
+def _date(text: str, key: bytes, inverse: bool) -> str | None:
+    """Year first, or with dots day first, or with slashes month first, and day first where only that is a date."""
     parts = re.split(r"([-/.])", text)
-    orders = [(0, 2, 4)] if len(parts[0]) == 4 else [(4, 0, 2), (4, 2, 0)] if parts[1] == "/" else [(4, 2, 0)]
-    for tried, order in enumerate(orders):
+    for order in [(0, 2, 4)] if len(parts[0]) == 4 else [(4, 0, 2), (4, 2, 0)] if parts[1] == "/" else [(4, 2, 0)]:
         try:
-            day = datetime.date(*(int(parts[i]) for i in order)).toordinal()
+            day = datetime.date(*(int(parts[i]) for i in order))
         except ValueError:
             continue
-        if not _FIRST_DAY <= day <= _LAST_DAY:
+        if day.year not in _YEARS:
             return None
-        while True:
-            day = _FIRST_DAY + feistel(day - _FIRST_DAY, _LAST_DAY - _FIRST_DAY + 1, key, f"date{tried}", inverse)
-            new = datetime.date.fromordinal(day)
-            if not tried or new.day > 12:
-                break
+        classes, rank = _dates()
+        own = classes[_date_class(day)]
+        new = own[feistel(rank[day], len(own), key, f"date{_date_class(day)}", inverse)]
         for i, v in zip(order, (new.year, new.month, new.day), strict=True):
-            parts[i] = f"{v:04d}" if i == order[0] else f"{v:02d}"
+            parts[i] = f"{v:0{len(parts[i])}d}"
         return "".join(parts)
     return None
 
@@ -144,7 +162,7 @@ def _ipv4(text: str, key: bytes, inverse: bool) -> str | None:
 def _iban(text: str, key: bytes, inverse: bool) -> str | None:
     flat = text.replace(" ", "")
     number = lambda s: int("".join(str(int(c, 36)) for c in s))
-    if not 15 <= len(flat) <= 34 or number(flat[4:] + flat[:4]) % 97 != 1:
+    if not 15 <= len(flat) <= 34 or not 2 <= int(flat[2:4]) <= 98 or number(flat[4:] + flat[:4]) % 97 != 1:
         return None
     body = _permuted_classes(flat[4:], key, "iban", inverse)
     check = 98 - number(body + flat[:2] + "00") % 97
@@ -185,9 +203,11 @@ class Kind:
     pseudonym: Callable[[str, bytes, bool], str | None]
 
 
-#: In order of preference where matches start at the same place.
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+
+#: In order of preference where matches start at the same place. An address is found by its @ and host; before it stands a run of ``_LOCAL``.
 KINDS = (
-    Kind("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", _email),
+    Kind("email", r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", _email),
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])", _iban),
     Kind("date", r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![0-9/-])", _date),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", _ssn),
@@ -202,13 +222,26 @@ _COMPILED = [(k, re.compile(k.pattern)) for k in KINDS]
 _TRIGGER = re.compile(r"[0-9]{2}|[0-9]\.[0-9]|@")
 
 
+def _matches(kind: Kind, pattern: re.Pattern, text: str) -> Iterator[tuple[int, int]]:
+    """Places of a kind's pattern, in linear time: no character is looked at from two starts."""
+    if kind.name != "email":
+        yield from (m.span() for m in pattern.finditer(text))
+        return
+    at = 0
+    for m in pattern.finditer(text) if "@" in text else ():
+        start = m.start()
+        while start > at and text[start - 1] in _LOCAL:
+            start -= 1
+        if start < m.start():
+            yield start, m.end()
+        at = m.end()
+
+
 def find(text: str) -> list[tuple[int, int, Kind]]:
     """Valid values as disjoint (start, end, kind), the earliest first, then the preferred kind."""
     spans = []
     for rank, (kind, pattern) in enumerate(_COMPILED):
-        if kind.name == "email" and "@" not in text:
-            continue
-        spans += [(m.start(), rank, m.end(), kind) for m in pattern.finditer(text) if kind.pseudonym(m[0], b"0" * 32, False) is not None]
+        spans += [(start, rank, end, kind) for start, end in _matches(kind, pattern, text) if kind.pseudonym(text[start:end], b"0" * 32, False) is not None]
     spans.sort(key=lambda s: s[:2])
     out, at = [], 0
     for start, _, end, kind in spans:
@@ -240,8 +273,10 @@ FIELDS = "text: string, n_values: bigint, kinds: string, spans: string"
 def pseudonyms(docs: DataFrame, secret: str, keep: list[str] | None = None) -> DataFrame:
     """(row, got): the kept columns; the new text, how many values it holds, their kinds and their kind:start:end spans.
 
-    A null text stays null and holds none. Repeated rows and values get equal
-    pseudonyms.
+    A null text stays null and holds none; an empty table gives an empty one.
+    Repeated rows and values get equal pseudonyms, a date under any spelling the
+    same date. Texts of any length are read whole, in linear time. Other columns
+    of any name pass through.
     """
     key = derive_key(secret)
 

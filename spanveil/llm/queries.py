@@ -13,10 +13,14 @@ from .scratch import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-#: The key of the pseudonyms in these queries. Production keys come from a secret store.
+#: The key of the pseudonyms where the session names none in spark.spanveil.pseudonym.key. Production keys come from a secret store.
 PSEUDONYM_KEY = "spanveil example key"
 
 
+def pseudonym_key(spark: SparkSession) -> str:
+    return spark.conf.get("spark.spanveil.pseudonym.key", PSEUDONYM_KEY)
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -62,7 +66,7 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonyms(_table(spark, sf_dir, "documents"), PSEUDONYM_KEY, keep=["doc_id"]).select("row.doc_id", "got.text", "got.n_values", "got.kinds", "got.spans")
+    return pii.pseudonyms(_table(spark, sf_dir, "documents"), pseudonym_key(spark), keep=["doc_id"]).select("row.doc_id", "got.text", "got.n_values", "got.kinds", "got.spans")
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
