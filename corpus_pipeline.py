@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from spanveil.llm import decontamination, jaccard, packing, pii, quality_rules
-from spanveil.llm.queries import PSEUDONYM_KEY
+from spanveil.llm.queries import pseudonym_key
 from spanveil.llm.scratch import Scratch
 
 
@@ -31,7 +31,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal values get their pseudonyms."""
-    return pii.replace_text(docs, PSEUDONYM_KEY)
+    return pii.replace_text(docs, pseudonym_key(spark))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
