@@ -7,8 +7,9 @@ automaton's states also know which items hold that window. Items shorter than
 the window count as one window each.
 
 The automaton is broadcast, so its size is bounded: beyond ``max_words`` item
-words the benchmark is split into several automata, and the documents stream
-through one after the other.
+words the benchmark is split into several automata. They are built one after the
+other, and each has a pass of its own over the documents, whose result is
+written; so neither the driver nor a worker ever holds two of them.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +27,10 @@ from pyspark.sql import types as T
 
 from .kernels import NON_ALNUM, Words, column_bytes, pieces, shingles
 from .rows import with_text
+from .scratch import Scratch, bounded_batches
 
-FIELDS = "n_words: bigint, n_hit: bigint, items: array<string>, clean: string"
+FIELDS = "n_words: bigint, n_hit: bigint, items: array<string>"
+CLEAN = ", clean: string"
 
 
 @dataclass
@@ -146,13 +150,13 @@ class _as_words:
         self.hashes, self.counts, self.bounds = hashes, np.array([len(hashes)]), np.array([0, len(hashes)])
 
 
-def automata(benchmark: DataFrame, window: int = 10, max_words: int = 100_000) -> list[Automaton]:
+def automata(benchmark: DataFrame, window: int = 10, max_words: int = 100_000) -> Iterator[Automaton]:
     """Automata of all items, each of about ``max_words`` words at most; items without words are left out.
 
     Items stream to the driver partition by partition, as they must all be in
-    some automaton; only their word hashes are kept.
+    some automaton; only the word hashes of the one being built are kept.
     """
-    out, held, n = [], [], 0
+    held, n = [], 0
     for r in benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("string").alias("t")).toLocalIterator():
         data, offsets = column_bytes(pa.array([r["t"]], pa.string()))
         h = Words(data, offsets, NON_ALNUM, lower=True).hashes
@@ -160,9 +164,10 @@ def automata(benchmark: DataFrame, window: int = 10, max_words: int = 100_000) -
             held.append((r["i"], h))
             n += len(h)
         if n >= max_words:
-            out.append(build(held, window))
+            yield build(held, window)
             held, n = [], 0
-    return [*out, build(held, window)] if held else out
+    if held:
+        yield build(held, window)
 
 
 def _candidates(auto: Automaton, words: Words) -> list[tuple[int, int]]:
@@ -199,53 +204,66 @@ def _scan(auto: Automaton, column: pa.Array) -> Iterator[tuple[int, np.ndarray,
                 yield lo + d, own, items
 
 
-def _finish(column: pa.Array, found: dict[int, tuple[np.ndarray, set[str]]]) -> list[pa.Array]:
+def _finish(column: pa.Array, found: dict[int, tuple[np.ndarray, set[str]]], with_clean: bool) -> list[pa.Array]:
     """The result columns, from all hits of a batch."""
     data, offsets = column_bytes(column)
-    valid = column.is_valid().to_pylist()
     n_words, n_hit, items, clean = [], [], [], []
-    for lo, _, part, offs in pieces(data, offsets):
+    for lo, hi, part, offs in pieces(data, offsets):
         words = Words(part, offs, NON_ALNUM, lower=True)
         n_words += words.counts.tolist()
-        for d in range(len(offs) - 1):
-            text = part[offs[d] : offs[d + 1]].tobytes()
+        for d in range(hi - lo):
             own, met = found.get(lo + d, ((), ()))
             n_hit.append(len(own))
             items.append(sorted(met))
-            if len(own):
+            if with_clean and len(own):
                 marks = np.zeros(words.counts[d], bool)
                 marks[own] = True
-                text = _without(text, words, d, marks, int(offs[d]))
-            clean.append(text.decode("utf-8") if valid[lo + d] else None)
-    return [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(clean, pa.string())]
+                clean.append(_without(part[offs[d] : offs[d + 1]].tobytes(), words, d, marks, int(offs[d])).decode("utf-8"))
+            else:
+                clean.append(None)
+    out = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string()))]
+    return [*out, pa.array(clean, pa.string())] if with_clean else out
 
 
-def find_benchmark_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_words: int = 100_000) -> DataFrame:
-    """(row, got): the documents' columns, and n_words, n_hit, items (ids, sorted as strings) and the text without hit spans.
+def find_benchmark_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_words: int = 100_000, keep: list[str] | None = None, with_clean: bool = True) -> DataFrame:
+    """(row, got): the kept columns, and n_words, n_hit, items (ids, sorted as strings) and, for a text with hits, the text without hit spans.
 
     Words are runs of ASCII letters and digits, A-Z lower-cased, and of
-    characters beyond ASCII. A null text has no words; its clean text is null.
-    Items with the same id count once, items with a null id hit but are not
-    listed. Without items nothing is hit. Each automaton is a pass of its own, so
-    that a worker holds one at a time, however large the benchmark is.
+    characters beyond ASCII. Null and empty texts have no words. Items with the
+    same id count once, items with a null id hit but are not listed. Without
+    items nothing is hit; an empty table gives an empty one. Repeated rows are
+    scanned alike, texts of any length whole, and other columns of any name pass
+    through. Of several automata, each pass is written to the shared folder and
+    takes the place of the one before.
     """
-    sc = docs.sparkSession.sparkContext
+    sc, fields = docs.sparkSession.sparkContext, FIELDS + CLEAN * with_clean
     autos = automata(benchmark, window, max_words)
-    if len(autos) <= 1:
-        only = [sc.broadcast(a) for a in autos]
-        return with_text(docs, lambda c: _finish(c, {i: (own, met) for b in only for i, own, met in _scan(b.value, c)}), FIELDS)
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
-    seen = docs.select(row, F.col("text").cast("string").alias("text"), F.array().cast("array<int>").alias("hits"), F.array().cast("array<string>").alias("items"))
-    for auto in autos:
-        seen = _pass(seen, sc.broadcast(auto))
+    one, more = next(autos, None), next(autos, None)
+    if more is None:
+        only = [] if one is None else [sc.broadcast(one)]
+        return with_text(docs, lambda c: _finish(c, {i: (own, met) for b in only for i, own, met in _scan(b.value, c)}, with_clean), fields, keep=keep)
+    bounded_batches(docs.sparkSession)
+    keep = docs.columns if keep is None else keep
+    row = F.struct(*(F.col(f"`{c}`") for c in keep)) if keep else F.struct(F.lit(0).alias("_"))
+    seen = docs.select(row.alias("row"), F.col("text").cast("string").alias("text"), F.array().cast("array<int>").alias("hits"), F.array().cast("array<string>").alias("items"))
+    scratch, done = Scratch(docs.sparkSession, "decontamination"), None
+    for auto in chain((one, more), autos):
+        held = sc.broadcast(auto)
+        seen = scratch.save(_pass(seen, held))
+        held.destroy()
+        scratch.drop(done)
+        done = seen
+        del auto
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pairs = zip(batch.column("hits").to_pylist(), batch.column("items").to_pylist(), strict=True)
-            cols = _finish(batch.column("text"), {i: (sorted(set(h)), set(m)) for i, (h, m) in enumerate(pairs) if h})
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.StructArray.from_arrays(cols, ["n_words", "n_hit", "items", "clean"])], ["row", "got"])
+            cols = _finish(batch.column("text"), {i: (sorted(set(h)), set(m)) for i, (h, m) in enumerate(pairs) if h}, with_clean)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.StructArray.from_arrays(cols, names)], ["row", "got"])
 
-    return seen.mapInArrow(finish, T.StructType([seen.schema["row"], T.StructField("got", T._parse_datatype_string(f"struct<{FIELDS}>"))]))
+    got = T._parse_datatype_string(f"struct<{fields}>")
+    names = got.fieldNames()
+    return seen.mapInArrow(finish, T.StructType([seen.schema["row"], T.StructField("got", got)]))
 
 
 def _pass(seen: DataFrame, auto) -> DataFrame:

@@ -22,13 +22,15 @@ def with_text(df: DataFrame, fn: Callable[[pa.Array], list[pa.Array]], fields: s
     keep = df.columns if keep is None else keep
     got = T._parse_datatype_string(f"struct<{fields}>")
     names = got.fieldNames()
+    inside = text in keep and df.schema[text].dataType == T.StringType()  # then the text is sent once
+    at = keep.index(text) if inside else -1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = fn(batch.column("text"))
+            cols = fn(batch.column("row").field(at) if inside else batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.StructArray.from_arrays(cols, names)], ["row", "got"])
 
     row = F.struct(*(F.col(f"`{c}`") for c in keep)) if keep else F.struct(F.lit(0).alias("_"))
-    src = df.select(row.alias("row"), F.col(f"`{text}`").cast("string").alias("text"))
+    src = df.select(row.alias("row"), *(() if inside else (F.col(f"`{text}`").cast("string").alias("text"),)))
     schema = T.StructType([src.schema["row"], T.StructField("got", got)])
     return src.mapInArrow(run, schema)
