@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import Scratch
+
 #: Tokens are words: maximal runs of characters other than ASCII white space.
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -80,22 +82,36 @@ def pack(docs: DataFrame, buckets: int = 16, budget: int = 8192, rows_per_shard:
     batches in order of (shard, doc_id), batches are numbered from 0 in each
     bucket. Bucket numbers rise with the length. Null and empty texts have
     length 0 and pack with the shortest; null ids come first in their shard;
-    repeated rows each take a slot. Numbering is done in shards of a bucket,
-    whose sizes are summed up first, so that no bucket meets in one task.
+    repeated rows each take a slot; an empty table gives an empty one.
+
+    Texts are read once: lengths and hashes are written. Numbering is done in
+    shards of a bucket, by a hash of id and text, whose sizes are summed up
+    first, so that no bucket meets in one task. A shard that equal rows make
+    large is dealt into parts by the order in which rows were written.
     """
     spark = docs.sparkSession
-    sized = docs.select("doc_id", word_count().alias("n_tokens"))
+    scratch = Scratch(spark, "packing")
+    told = F.xxhash64(F.col("doc_id"), F.col("text").cast("string"))
+    sized = scratch.save(docs.select("doc_id", word_count(F.col("text").cast("string")).alias("n_tokens"), told.alias("told")).withColumn("row", F.monotonically_increasing_id()))
     counts = {r["n_tokens"]: r["n"] for r in sized.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).collect()}
     bounds = optimal_buckets(counts, buckets)
     shards = max(1, -(-sum(counts.values()) // rows_per_shard))
     table, cases = F.create_map(*(F.lit(x) for i, b in enumerate(bounds or [0]) for x in (i, b))), F.lit(0)
     for i, b in enumerate(bounds[:-1]):
         cases = F.when(F.col("n_tokens") > b, i + 1).otherwise(cases) if i else F.when(F.col("n_tokens") > b, 1).otherwise(0)
-    placed = sized.select("*", cases.cast("int").alias("bucket"), F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"))
+    placed = sized.select("*", cases.cast("int").alias("bucket"), F.pmod("told", F.lit(shards)).cast("int").alias("shard"))
     sizes = placed.groupBy("bucket", "shard").agg(F.count(F.lit(1)).alias("m"))
-    before = sizes.select("bucket", "shard", (F.sum("m").over(Window.partitionBy("bucket").orderBy("shard")) - F.col("m")).alias("before"))
-    slot = F.row_number().over(Window.partitionBy("bucket", "shard").orderBy("doc_id", "n_tokens")) - 1
-    ranked = placed.withColumn("at", slot).join(before, ["bucket", "shard"]).withColumn("at", F.col("at") + F.col("before"))
+    large = sizes.where(F.col("m") > 2 * rows_per_shard).select("bucket", "shard", F.ceil(F.col("m") / rows_per_shard).alias("parts"))
+    if large.limit(1).count():
+        part = F.coalesce(F.pmod(F.xxhash64("row"), "parts").cast("int"), F.lit(0))
+        placed = placed.join(F.broadcast(large), ["bucket", "shard"], "left").withColumn("part", part)  # one for 2 * rows_per_shard rows at most
+        key = ["bucket", "shard", "part"]
+        sizes = placed.groupBy(*key).agg(F.count(F.lit(1)).alias("m"))
+    else:
+        key = ["bucket", "shard"]
+    before = sizes.select(*key, (F.sum("m").over(Window.partitionBy("bucket").orderBy(*key[1:])) - F.col("m")).alias("before"))
+    slot = F.row_number().over(Window.partitionBy(*key).orderBy("doc_id", "n_tokens", "told")) - 1
+    ranked = placed.withColumn("at", slot).join(before, key).withColumn("at", F.col("at") + F.col("before"))
     length = table[F.col("bucket")].cast("bigint")
     fits = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(length, F.lit(1)))).cast("bigint")
     return ranked.select("doc_id", "n_tokens", "bucket", length.alias("bucket_length"), F.floor(F.col("at") / fits).cast("bigint").alias("batch"), (F.col("at") % fits).cast("int").alias("slot"))
