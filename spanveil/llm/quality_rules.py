@@ -18,12 +18,24 @@ from pyspark.sql import functions as F
 
 from .kernels import CONTINUATION, NEWLINE, SPACES, U64, Words, byte_set, column_bytes, mix64, per_text, pieces, range_hashes, shingles
 from .rows import with_text
+from .scratch import Scratch
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_ended", "n_upper", "n_letters", "n_digits", "n_bangs", "n_short_words")
 FIELDS = ", ".join(f"{c}: bigint" for c in COUNTS)
 
 _SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
-_UPPER, _LETTERS, _DIGITS = byte_set((65, 90)), byte_set((65, 90), (97, 122), (0xC3, 0xF4)), byte_set((48, 57))
+_UPPER, _DIGITS = byte_set((65, 90)), byte_set((48, 57))
+#: ASCII letters, and first bytes of characters beyond Latin-1's signs but for the blocks of punctuation and forms.
+_LETTERS = byte_set((65, 90), (97, 122), (0xC3, 0xE1), (0xE3, 0xEE), (0xF0, 0xF4))
+
+
+def letters(data: np.ndarray) -> np.ndarray:
+    """Whether a letter begins at each byte. Signs of CJK scripts and pictographs aren't letters."""
+    out = _LETTERS[data]
+    out[:-1] &= ~(((data[:-1] == 0xE3) & (data[1:] == 0x80)) | ((data[:-1] == 0xF0) & (data[1:] == 0x9F)))
+    return out
+
+
 _ENDS = np.isin(np.arange(256), list(b".!?:;\"')"))
 
 
@@ -80,7 +92,9 @@ def text_counts(column: pa.Array) -> list[pa.Array]:
             per_text(covered[:n], bounds),
             line_sums(slice(None)),
             line_sums(ended),
-            *(per_text(t[part], offs) for t in (_UPPER, _LETTERS, _DIGITS)),
+            per_text(_UPPER[part], offs),
+            per_text(letters(part), offs),
+            per_text(_DIGITS[part], offs),
             per_text(part == 33, offs),
             per_text(short, bounds),
         )
@@ -168,7 +182,10 @@ def judge(counted: DataFrame, model: LabelModel, least: float = 0.5) -> DataFram
     """Adds base_failed, quality_prob and kept. kept is false where the base rule fails, else whether the posterior reaches ``least``.
 
     Base rule: fewer than 50 words, or more than half of them in repeated
-    3-word windows. Null and empty texts have no words and fail it.
+    3-word windows. Null and empty texts have no words and fail it. Rows with the
+    same votes, so repeated ones too, have the same posterior; one of exactly
+    ``least`` is kept. An empty table gives an empty one. Kept columns of any name
+    are fields of ``row``.
     """
     spark = counted.sparkSession
     known = spark.createDataFrame(sorted(model.posterior.items()) or [(-1, 0.0)], "p int, quality_prob double")
@@ -178,6 +195,6 @@ def judge(counted: DataFrame, model: LabelModel, least: float = 0.5) -> DataFram
 
 
 def filter_quality(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The documents that are kept, with their own columns."""
-    model = label_model(counts_of(docs, keep=[]))
-    return judge(counts_of(docs), model, least).where("kept").select("row.*")
+    """The documents that are kept, with their own columns. Texts are counted once: rows with their counts are written."""
+    counted = Scratch(docs.sparkSession, "quality").save(counts_of(docs))
+    return judge(counted, label_model(counted), least).where("kept").select("row.*")
