@@ -11,16 +11,16 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, scratch: Scratch) -> DataFrame:
     """One step over edges (u, v), u < v.
 
     Large: a node's larger neighbours are tied to the least of the node and its
     neighbours. Small: the same for its smaller neighbours and itself. Each step
-    is an aggregate with a map-side part and a join, so no node's neighbours
-    meet in one place.
+    is an aggregate with a map-side part, written before it is joined, so that
+    the edges of a hub are split in the join and never meet in one place.
     """
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = scratch.save(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
     tied = both.join(least, "u")
     if large:
         out = tied.where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b"))
@@ -73,8 +73,10 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         open_ends = least.where("u <> most").limit(1).count() or now.join(least.select(F.col("v").alias("u")), "u", "left_semi").limit(1).count()
         if not open_ends:
             break
-        step = scratch.save(_star(_star(now, True), False))
+        tied = scratch.save(_star(now, True, scratch))
+        step = scratch.save(_star(tied, False, scratch))
         scratch.drop(now)
+        scratch.drop(tied)
         now = step
     now = now.distinct()
     return now.select(F.col("v").alias("id"), F.col("u").alias("component")).unionByName(now.select(F.col("u").alias("id"), F.col("u").alias("component")).distinct())

@@ -20,10 +20,15 @@ _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named in the session, or an own one where none is."""
+    """The shared folder named in the session or set on its context; an own one where none is and all runs on this machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    given = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if given.isDefined():
+        return given.get()
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _own:
         _own.append("file://" + tempfile.mkdtemp(prefix="spanveil-"))
     return _own[0]
@@ -82,7 +87,7 @@ class Scratch:
         self._held.append(out)
         return out
 
-    def drop(self, df: DataFrame) -> None:
+    def drop(self, df: DataFrame | None) -> None:
         """Remove a table that no later plan reads."""
         path = self._paths.pop(id(df), None)
         if path:
