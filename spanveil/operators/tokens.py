@@ -30,22 +30,30 @@ def vault_table(mentions: DataFrame) -> DataFrame:
     numbering sees them.
     """
     first = mentions.groupBy("scope", "entity", "norm").agg(F.min(F.struct("seq", "start", "value")).alias("f"))
-    n = F.row_number().over(Window.partitionBy("scope", "entity").orderBy("f.seq", "f.start"))
+    n = F.row_number().over(Window.partitionBy("scope", "entity").orderBy("f.seq", "f.start", "norm"))
     return first.withColumn("n", n).select("scope", "entity", "norm", "n", F.format_string("<%s_%d>", "entity", "n").alias("token"), F.col("f.value").alias("value"), F.col("f.seq").alias("first_seq"))
 
 
+def _row_key(text: str) -> Column:
+    """Equal for rows that are equal in all; so what is made for a row finds it again whatever its keys are."""
+    return F.sha2(F.to_json(F.struct("scope", "seq", F.col(text).alias("text"))), 256)
+
+
 def redact_contacts(docs: DataFrame, scope: str, seq: str, text: str) -> DataFrame:
-    """(scope, seq, redacted, n): each document with its contacts replaced by their tokens.
+    """(scope, seq, redacted, n): each row with its contacts replaced by their tokens.
 
-    Only documents that hold a contact are shuffled; the others pass by.
+    Only rows that hold a contact are shuffled; the others pass by. Rows may
+    share their scope and seq, and either may be null: rows without a scope share
+    one vault. A null text stays null.
     """
     spans = docs.select(F.col(scope).alias("scope"), F.col(seq).alias("seq"), F.col(text).alias("text"), contact_spans(F.col(text)).alias("spans"))
     plain = spans.where(F.size("spans") == 0).select("scope", "seq", F.col("text").alias("redacted"), F.lit(0).alias("n"))
-    some = spans.where(F.size("spans") > 0)
-    mentions = some.select("scope", "seq", F.explode("spans").alias("s")).select("scope", "seq", "s.*").withColumn("norm", _norm(F.col("entity"), F.col("value")))
-    tokens = mentions.join(vault_table(mentions).select("scope", "entity", "norm", "token"), ["scope", "entity", "norm"])
-    pieces = tokens.groupBy("scope", "seq").agg(F.array_sort(F.collect_list(F.struct("start", "end", "token"))).alias("pieces"))  # a document's spans
-    done = some.join(pieces, ["scope", "seq"]).select("scope", "seq", splice(F.col("text"), F.col("pieces")).alias("redacted"), F.size("pieces").alias("n"))
+    some = spans.where(F.size("spans") > 0).withColumn("row", _row_key("text"))
+    mentions = some.select("row", "scope", "seq", F.explode("spans").alias("s")).select("row", "scope", "seq", "s.*").withColumn("norm", _norm(F.col("entity"), F.col("value")))
+    vaults = vault_table(mentions).select(F.col("scope").alias("of"), F.col("entity").alias("kind"), F.col("norm").alias("same"), "token")
+    tokens = mentions.join(vaults, F.col("scope").eqNullSafe(F.col("of")) & (F.col("entity") == F.col("kind")) & (F.col("norm") == F.col("same")))
+    pieces = tokens.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "end", "token"))).alias("pieces"))  # a row's spans
+    done = some.join(pieces, "row").select("scope", "seq", splice(F.col("text"), F.col("pieces")).alias("redacted"), F.size("pieces").alias("n"))
     return done.unionByName(plain)
 
 
@@ -96,13 +104,31 @@ def rehydrate(replies: DataFrame, vaults: DataFrame, scope: str, seq: str, text:
     """(scope, seq, clean): each known token replaced by its value.
 
     A reply meets only the vault rows of tokens that it holds, however large its
-    scope's vault is.
+    scope's vault is. Replies may share their scope and seq, and either may be
+    null.
     """
     from spanveil.functions.placeholders import substitute
 
     tokens = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(r"<[a-z0-9]+_\d+>"), F.lit(0)))
-    rows = replies.select(F.col(scope).alias("scope"), F.col(seq).alias("seq"), F.col(text).alias("text"), tokens.alias("tokens"))
-    wanted = rows.select("scope", "seq", F.explode("tokens").alias("token")).join(vaults.select("scope", "token", "value"), ["scope", "token"])
-    maps = wanted.groupBy("scope", "seq").agg(F.map_from_entries(F.collect_list(F.struct("token", "value"))).alias("vault"))
-    done = rows.where(F.size("tokens") > 0).join(maps, ["scope", "seq"], "left").select("scope", "seq", F.when(F.col("vault").isNull(), F.col("text")).otherwise(substitute(F.col("text"), F.col("vault"))).alias("clean"))
+    rows = replies.select(F.col(scope).alias("scope"), F.col(seq).alias("seq"), F.col(text).alias("text"), F.coalesce(tokens, F.array().cast("array<string>")).alias("tokens"))
+    some = rows.where(F.size("tokens") > 0).withColumn("row", _row_key("text"))
+    known = vaults.select(F.col("scope").alias("of"), F.col("token").alias("held"), "value")
+    wanted = some.select("row", "scope", F.explode("tokens").alias("token")).join(known, F.col("scope").eqNullSafe(F.col("of")) & (F.col("token") == F.col("held")))
+    maps = wanted.groupBy("row").agg(F.map_from_entries(F.collect_set(F.struct("token", "value"))).alias("vault"))  # a reply's tokens
+    done = some.join(maps, "row", "left").select("scope", "seq", F.when(F.col("vault").isNull(), F.col("text")).otherwise(substitute(F.col("text"), F.col("vault"))).alias("clean"))
     return done.unionByName(rows.where(F.size("tokens") == 0).select("scope", "seq", F.col("text").alias("clean")))
+
+
+def value_at(mentions: DataFrame, asks: DataFrame, scope: str, seq: str, entity: str) -> DataFrame:
+    """``asks`` (scope, seq, entity, ...) with token and value: the newest token of the entity that its scope had strictly before that seq, null without one.
+
+    Tokens of an entity only ever grow in number, so the newest is the one with
+    the greatest number among those first seen before. Mentions and asks are
+    merged in one window, sorted by seq; no row meets another.
+    """
+    vault = vault_table(mentions)
+    seen = vault.select(F.col("scope").alias("_scope"), F.col("entity").alias("_entity"), F.col("first_seq").alias("_seq"), F.lit(1).alias("_late"), F.struct("n", "token", "value").alias("_had"), F.lit(None).cast(asks.select(F.struct("*").alias("a")).schema["a"].dataType).alias("_ask"))
+    asked = asks.select(F.col(scope).alias("_scope"), F.col(entity).alias("_entity"), F.col(seq).alias("_seq"), F.lit(0).alias("_late"), F.lit(None).cast(seen.schema["_had"].dataType).alias("_had"), F.struct("*").alias("_ask"))
+    order = Window.partitionBy("_scope", "_entity").orderBy("_seq", "_late").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = seen.unionByName(asked).withColumn("_newest", F.max("_had").over(order)).where(F.col("_ask").isNotNull())
+    return both.select("_ask.*", F.col("_newest.token").alias("token"), F.col("_newest.value").alias("value"))

@@ -144,6 +144,43 @@ def rehydrate_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.rehydrate(redacted, _vault(spark, sf_dir), "scope", "seq", "redacted").select(F.col("seq").alias("doc_id"), "clean")
 
 
+# Rows whose keys repeat, or are null, with few distinct addresses.
+_SHARED = """src AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE source END AS scope, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE doc_id // 3 END AS seq, 'mail ' || chr(CAST(97 + doc_id % 4 AS INTEGER)) || doc_id % 3 || '@mail.example.com and q' AS text FROM documents
+  UNION ALL SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE source END, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE doc_id // 3 END, 'plain ' || doc_id % 2 FROM documents),
+one AS (SELECT scope, regexp_extract(text, '[a-z][0-9]@mail.example.com') AS value, seq FROM src WHERE contains(text, '@')),
+firsts AS (SELECT scope, value, min(seq) FILTER (seq IS NOT NULL) AS s, count(*) FILTER (seq IS NULL) > 0 AS unsaid FROM one GROUP BY ALL),
+vault AS (SELECT scope, value, '<em_' || row_number() OVER (PARTITION BY scope ORDER BY CASE WHEN unsaid THEN 0 ELSE 1 END, CASE WHEN unsaid THEN 0 ELSE s END, value) || '>' AS token FROM firsts)
+"""
+
+
+def _shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _read(spark, sf_dir, "documents")
+    key = F.col("doc_id")
+    scope, seq = F.when(key % 5 != 0, F.col("source")).alias("scope"), F.when(key % 7 != 0, F.floor(key / 3)).alias("seq")
+    mail = F.concat(F.lit("mail "), F.char(97 + key % 4), (key % 3).cast("string"), F.lit("@mail.example.com and q"))
+    return d.select(scope, seq, mail.alias("text")).unionByName(d.select(scope, seq, F.concat(F.lit("plain "), (key % 2).cast("string")).alias("text")))
+
+
+@query(f"WITH {_SHARED} SELECT src.scope, src.seq, CASE WHEN token IS NULL THEN text ELSE replace(text, value, token) END AS redacted, CAST(CASE WHEN token IS NULL THEN 0 ELSE 1 END AS INTEGER) AS n FROM src LEFT JOIN vault ON src.scope IS NOT DISTINCT FROM vault.scope AND contains(text, value)")
+def redact_shared_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.redact_contacts(_shared(spark, sf_dir), "scope", "seq", "text")
+
+
+@query(f"WITH {_SHARED} SELECT scope, seq, text AS clean FROM src")
+def rehydrate_shared_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _shared(spark, sf_dir)
+    vaults = tokens.vault_table(tokens.contact_mentions(rows, "scope", "seq", "text"))
+    return tokens.rehydrate(tokens.redact_contacts(rows, "scope", "seq", "text"), vaults, "scope", "seq", "redacted")
+
+
+@query(_MENTIONS + """, asks AS (SELECT doc_id, source FROM documents WHERE doc_id % 10 = 0)
+SELECT a.doc_id, a.source, max_by(v.token, v.n) AS token, max_by(v.value, v.n) AS value FROM asks a LEFT JOIN vault v ON v.source = a.source AND v.entity = 'em' AND v.first_doc < a.doc_id GROUP BY ALL""")
+def value_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _read(spark, sf_dir, "documents")
+    asks = d.where("doc_id % 10 = 0").select("doc_id", "source", F.lit("em").alias("entity"))
+    return tokens.value_at(tokens.contact_mentions(d, "source", "doc_id", "text"), asks, "source", "doc_id", "entity").drop("entity")
+
+
 # ---- spans ----
 @query(
     """WITH s AS (SELECT l_orderkey, l_linenumber, CAST(l_partkey % 60 AS INTEGER) AS s, CAST(l_partkey % 60 + 1 + l_suppkey % 9 AS INTEGER) AS e, l_linenumber % 3 = 0 AS loose FROM lineitem),
