@@ -1,7 +1,8 @@
 """Whole conversations: an ordered fold of messages over the vault of their scope.
 
 Token numbers depend on all earlier messages of a scope, so a scope is the unit
-of work: one shuffle by scope, each group sorted by time, vault in, vault out.
+of work: one shuffle by scope, then scopes stream by in order of time, vault in,
+vault out.
 Contacts alone don't need this; see ``operators.tokens``.
 """
 
@@ -16,13 +17,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanveil.operators import names
+from spanveil.operators.folds import fold
 from spanveil.operators.vault import Vault
-from spanveil.shipping import ship
 
 SCOPE = ("client_id", "assistant_id", "visitor_id", "session_id", "thread_id")
 MESSAGES = "seq bigint, op string, ts double, message string, previous string, terms array<string>, new_user boolean, closed boolean"
+VAULTS = "snapshot string, last_access double"
 RESULTS = "seq bigint, op string, status string, text string, repaired string, was_repaired boolean, profile int, replacements map<string,string>, generation int"
-RESULT_FIELDS = [f.split()[0] for f in RESULTS.split(", ")]
 
 
 class Session:
@@ -37,6 +38,20 @@ class Session:
     def __init__(self, ttl: float = 3600.0, vault: Vault | None = None, last: float | None = None, generation: int = 0, models: names.Detectors = names.Detectors()):
         self.ttl, self.vault, self.last, self.generation, self.models = max(60.0, ttl), vault, last, generation, models
 
+    def stored(self, snapshot: str, last: float | None) -> None:
+        """Go on with a stored vault."""
+        self.vault, self.last = Vault.restore(json.loads(snapshot)), last
+
+    def result(self, row: dict) -> dict:
+        """``step`` for one row of messages, with the row's seq and op."""
+        got = self.step(row["op"], float("nan") if row["ts"] is None else row["ts"], row["message"], row["previous"], row["terms"] or (), bool(row["new_user"]), row["closed"] is None or bool(row["closed"]))
+        return {"seq": row["seq"], "op": row["op"]} | got
+
+    def vault_row(self) -> dict:
+        """What a store keeps of the scope."""
+        kept = self.vault is not None
+        return {"op": "vault", "status": "kept" if kept else "gone", "generation": self.generation, "snapshot": json.dumps(self.vault.snapshot()) if kept else None, "last_access": self.last if kept else None}
+
     def _expire(self, now: float) -> None:
         if self.vault is not None and self.last is not None and now - self.last > self.ttl:
             self.vault = None
@@ -68,48 +83,44 @@ class Session:
         return out | {"generation": self.generation}
 
 
-def process(messages: DataFrame, scope: tuple[str, ...] = SCOPE, ttl_seconds: int = 3600, models: Callable[[], names.Detectors] | None = None, stored: DataFrame | None = None) -> DataFrame:
+def process(messages: DataFrame, scope: tuple[str, ...] = SCOPE, ttl_seconds: int = 3600, models: Callable[[], names.Detectors] | None = None, stored: DataFrame | None = None, with_snapshots: bool = False) -> DataFrame:
     """One result row for each message row, plus the scope columns.
 
     ``messages`` has the scope columns and seq, op (in, out or end), ts (epoch
     seconds), message, previous, terms, new_user, closed. ``stored`` may have
-    (scope columns, snapshot, last_access) of earlier vaults. ``models`` makes the
-    optional detectors, once a worker.
+    (scope columns, snapshot, last_access) of earlier vaults, each of which comes
+    before the messages of its scope. ``models`` makes the optional detectors,
+    once a worker. Messages without a time come last in their scope.
+    ``with_snapshots`` adds a row for each scope, of op "vault", whose snapshot
+    and last_access are what a store keeps; both are null if the vault is gone.
     """
-    ship(messages.sparkSession)
-    keys = list(scope)
-    fields = RESULT_FIELDS
-    schema = T.StructType([messages.schema[k] for k in keys] + list(T._parse_datatype_string(RESULTS)))
-
-    def fold(key: tuple, rows: pd.DataFrame, old: pd.DataFrame | None = None) -> pd.DataFrame:
-        vault = last = None
-        if old is not None and len(old):
-            vault, last = Vault.restore(json.loads(old["snapshot"].iloc[0])), float(old["last_access"].iloc[0])
-        s = Session(ttl_seconds, vault, last, models=_models(models))
-        out = []
-        for r in rows.sort_values(["ts", "seq"], kind="stable").itertuples(index=False):
-            terms = [] if r.terms is None else list(r.terms)
-            got = s.step(r.op, r.ts, r.message, r.previous, terms, bool(r.new_user), r.closed is None or bool(r.closed))
-            out.append((*key, r.seq, r.op, *(got[f] for f in fields[2:])))
-        return pd.DataFrame(out, columns=[*keys, *fields])
-
-    if stored is None:
-        return messages.groupBy(*keys).applyInPandas(lambda key, rows: fold(key, rows), schema)
-    return messages.groupBy(*keys).cogroup(stored.groupBy(*keys)).applyInPandas(fold, schema)
+    keys, fields = list(scope), [f.split()[0] for f in MESSAGES.split(", ")]
+    schema = T.StructType([messages.schema[k] for k in keys] + list(T._parse_datatype_string(RESULTS + (f", {VAULTS}" if with_snapshots else ""))))
+    rows = messages.select(*keys, *fields).withColumn("_old", F.lit(False))
+    if stored is not None:
+        nulls = (F.lit(None).cast(messages.schema[f].dataType).alias(f) for f in fields if f not in ("ts", "message"))
+        rows = rows.unionByName(stored.select(*keys, F.col("last_access").cast("double").alias("ts"), F.col("snapshot").alias("message"), *nulls, F.lit(True).alias("_old")))
+
+    def step(session: Session, row: dict) -> Iterator[dict]:
+        if row["_old"]:
+            session.stored(row["message"], row["ts"])
+        else:
+            yield {k: row[k] for k in keys} | session.result(row)
+
+    order = [F.col("_old").desc(), F.col("ts").asc_nulls_last(), F.col("seq")]
+    finish = (lambda session, scope: (scope | session.vault_row(),)) if with_snapshots else None
+    return fold(rows, keys, order, lambda: Session(ttl_seconds, models=_models(models)), step, schema, finish)
 
 
 _made: dict[int, names.Detectors] = {}
 
 
 def _models(make: Callable[[], names.Detectors] | None) -> names.Detectors:
-    """Models of this worker, made at first use; one that can't be made is left out."""
+    """Models of this worker, made at first use. What can't be made raises here; see ``operators.models`` for what may be left out."""
     if make is None:
         return names.Detectors()
     if id(make) not in _made:
-        try:
-            _made[id(make)] = make()
-        except Exception:
-            _made[id(make)] = names.Detectors()
+        _made[id(make)] = make()
     return _made[id(make)]
 
 

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pathlib import PurePosixPath
+import argparse
+import json
+from pathlib import Path, PurePosixPath
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanveil.operators import names
+from spanveil.operators import allowlist, names
+from spanveil.operators.folds import fold
 from spanveil.operators.vault import Vault
-from spanveil.shipping import ship
 
 # The line grammar.
 STARTED = r"^Started:\s+.*\|\s+Thread:\s+(\S+)\s*$"
@@ -19,18 +20,22 @@ THREAD = r"^Thread\s+(\S+):\s*$"
 HEADER = r"^(User|Agent)\s+\([^)]*\):\s*$"
 INLINE = r"^((?:User|Agent)\s+\([^)]*\):)\s*(.*\S)\s*$"
 RULE = r"^(?:={20}|-{10,}\s*$)"
+LINE_ENDS = r"\n\x0B\f\x1C-\x1E\x85\u2028\u2029"
 # End of the fixed values.
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, line): all lines of text files, with their line ends."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("text"))
-    return whole.select("file", F.posexplode(F.split("text", r"(?<=\n)(?!\z)")).alias("line_no", "line")).where("line <> ''")
+    """(file, line_no, line): all lines of text files, with their line ends.
+
+    CR and CRLF become LF; the other separators of lines of Unicode end a line too.
+    """
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.regexp_replace("value", r"\r\n?", "\n").alias("text"))
+    return whole.select("file", F.posexplode(F.split("text", rf"(?<=[{LINE_ENDS}])(?!\z)")).alias("line_no", "line")).where("line <> ''")
 
 
 def classify(lines: DataFrame) -> DataFrame:
-    """Adds thread_mark, role, prefix, inline, boundary and metadata to (file, line_no, line)."""
-    line = F.rtrim(F.regexp_replace("line", r"\n$", ""))
+    """Adds thread_mark, role, prefix, inline, boundary and skipped to (file, line_no, line). A null line is an empty one."""
+    line = F.rtrim(F.regexp_replace(F.coalesce("line", F.lit("")), r"\n$", ""))
     mark = F.coalesce(F.nullif(F.regexp_extract(line, STARTED, 1), F.lit("")), F.nullif(F.regexp_extract(line, THREAD, 1), F.lit("")))
     inline, header = line.rlike(INLINE), line.rlike(HEADER)
     body = F.trim(line)
@@ -59,41 +64,44 @@ def redact(lines: DataFrame, mode: str = "user-only", terms: list[str] | None =
 
     A thread of a file has one vault. The previous assistant message is the last
     agent block of the thread, as it was written. ``tokens`` counts distinct tokens
-    of a line, ``processed`` whether it was looked at.
+    of a line, ``processed`` whether it was looked at. A null line stays null.
     """
     if mode not in ("user-only", "both"):
         raise ValueError("mode must be user-only or both")
-    ship(lines.sparkSession)
     allow = names.terms_of(terms)
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        vault, previous, out = Vault(), "", []
-        rows = rows.sort_values("line_no")
-        for _, b in rows.groupby("block", sort=True):
-            speaker = b["speaker"].iloc[0]
-            active = speaker is not None and (speaker == "User" or mode == "both")
-            said = []
-            for r in b.itertuples(index=False):
-                end = "\n" if r.line.endswith("\n") else ""
-                new, n, seen = r.line, 0, False
-                if r.inline is not None:
-                    said.append(r.inline)
-                elif not r.boundary:
-                    said.append(r.line)
-                if active and (r.inline is not None or not r.boundary):
-                    seen = True
-                    if r.inline is not None or not r.skipped:
-                        got = names.redact(r.inline if r.inline is not None else r.line.removesuffix("\n"), vault, previous, allow)
-                        new, n = (f"{r.prefix} " if r.inline is not None else "") + got.text + end, len(got.replacements)
-                out.append((r.file, r.line_no, r.line, new, n, seen))
-            if speaker == "Agent":
-                head = [x for x in said[:1] if b["inline"].iloc[0] is not None]
-                tail = "".join(said[len(head) :]).strip()
-                previous = "\n".join(x for x in (*(h.strip() for h in head), tail) if x)
-        return pd.DataFrame(out, columns=["file", "line_no", "line", "redacted", "tokens", "processed"])
-
     schema = T.StructType([lines.schema["file"], lines.schema["line_no"], *T._parse_datatype_string("line string, redacted string, tokens int, processed boolean")])
-    return blocks(classify(lines)).groupBy("file", "thread").applyInPandas(fold, schema)
+    step = lambda thread, row: (thread.line(row, mode, allow),)
+    return fold(blocks(classify(lines)), ["file", "thread"], [F.col("line_no")], _Thread, step, schema)
+
+
+class _Thread:
+    """A thread's vault, its last agent block, and the block at hand."""
+
+    def __init__(self) -> None:
+        self.vault, self.previous = Vault(), ""
+        self.block: int | None = None
+        self.speaker: str | None = None
+        self.head, self.said = "", []
+
+    def _begin(self, row: dict) -> None:
+        if self.speaker == "Agent":
+            self.previous = "\n".join(x for x in (self.head.strip(), "".join(self.said).strip()) if x)
+        self.block, self.speaker = row["block"], row["speaker"]
+        self.head, self.said = row["inline"] or "", []
+
+    def line(self, row: dict, mode: str, allow: frozenset[str]) -> dict:
+        if row["block"] != self.block:
+            self._begin(row)
+        line, inline = row["line"] or "", row["inline"]
+        new, n, seen = row["line"], 0, False
+        if inline is not None or not row["boundary"]:
+            if inline is None:
+                self.said.append(line)
+            seen = self.speaker is not None and (self.speaker == "User" or mode == "both")
+            if seen and (inline is not None or not row["skipped"]):
+                got = names.redact(inline if inline is not None else line.removesuffix("\n"), self.vault, self.previous, allow)
+                new, n = (f"{row['prefix']} " if inline is not None else "") + got.text + ("\n" if line.endswith("\n") else ""), len(got.replacements)
+        return {"file": row["file"], "line_no": row["line_no"], "line": row["line"], "redacted": new, "tokens": n, "processed": seen}
 
 
 def stats(lines: DataFrame, redacted: DataFrame) -> DataFrame:
@@ -115,7 +123,49 @@ def output_path(path: str, explicit: str | None = None, tag: str = "") -> str:
     return explicit or str(p.with_name(f"{p.stem}.redacted{'.' + tag if tag else ''}{p.suffix}"))
 
 
-def write(redacted: DataFrame, path: str) -> None:
-    """Text files, one a transcript, lines in order."""
-    whole = redacted.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "redacted"))), lambda x: x["redacted"]), "").alias("value"))
-    whole.select(F.regexp_replace("value", r"\n$", "").alias("value")).write.text(path)
+def write(redacted: DataFrame, path: str, tag: str = "") -> None:
+    """Text files, lines in order: a folder ``name=<stem>.redacted[.tag]<suffix>`` for each transcript."""
+    base = F.regexp_extract("file", r"([^/]*)$", 1)
+    suffix = F.regexp_extract(base, r"(?<=[^/])(\.[^./]+)$", 1)
+    name = F.concat(F.substring(base, F.lit(1), F.length(base) - F.length(suffix)), F.lit(".redacted" + ("." + tag if tag else "")), suffix)
+    whole = redacted.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", F.coalesce("redacted", F.lit("")).alias("redacted")))), lambda x: x["redacted"]), "").alias("value"))
+    whole.select(F.regexp_replace("value", r"\n$", "").alias("value"), name.alias("name")).write.partitionBy("name").text(path)
+
+
+def redact_file(spark: SparkSession, path: str, output: str | None = None, tag: str = "", mode: str = "user-only", terms: list[str] | None = None) -> tuple[str, Row]:
+    """Redact one transcript into one file named after it; its path, and the ``stats``. The lines pass the driver one by one."""
+    lines = read_lines(spark, path)
+    redacted = redact(lines, mode, terms).cache()
+    where = output_path(path, output, tag)
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(where)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        for row in redacted.orderBy("line_no").toLocalIterator():
+            out.write(bytearray(row.redacted.encode()))
+    finally:
+        out.close()
+    counted = stats(lines, redacted).first()
+    redacted.unpersist()
+    return where, counted
+
+
+def main(args: list[str] | None = None) -> None:
+    """Redact a transcript file from the command line."""
+    parser = argparse.ArgumentParser(description=main.__doc__)
+    parser.add_argument("input")
+    parser.add_argument("--output")
+    parser.add_argument("--tag", default="")
+    parser.add_argument("--mode", default="user-only", choices=("user-only", "both"))
+    parser.add_argument("--terms", help="JSON file whose strings and keys are no names")
+    parser.add_argument("--name-terms", help="JSON file whose name fields are no names")
+    given = parser.parse_args(args)
+    terms = []
+    for path, read in ((given.terms, allowlist.all_terms), (given.name_terms, allowlist.name_terms)):
+        terms += read(json.loads(Path(path).read_text(encoding="utf-8"))) if path else []
+    where, counted = redact_file(SparkSession.builder.getOrCreate(), given.input, given.output, given.tag, given.mode, terms)
+    print(where, *(f"{k}={v}" for k, v in counted.asDict().items()))
+
+
+if __name__ == "__main__":
+    main()

@@ -1,4 +1,5 @@
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -113,6 +114,111 @@ def test_sessions_in_stream(spark, tmp_path):
     assert isinstance(health(spark), list)
 
 
+def _in_parts(spark, tmp_path, parts, name, start, **more):
+    """Messages that arrive part by part, each taken by one run of a query over the same checkpoint."""
+    from spanveil.streaming.session import process_stream
+
+    source, out = tmp_path / name, []
+    for i, rows in enumerate(parts):
+        _messages(spark, rows).coalesce(1).write.json(str(source / str(i)))
+        read = spark.readStream.schema(_messages(spark, ROWS).schema).json(str(source / "*"))
+        q = start(process_stream(read, **more), out)
+        assert q.awaitTermination(120)
+    return out
+
+
+def test_micro_batches_equal_the_batch(spark, tmp_path):
+    rows = [*ROWS, ("t1", 6, "in", 4010.0, "My name is Bea Penrose", None, None, False, True)]
+
+    def start(results, out):
+        return results.writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(once=True).foreachBatch(lambda df, i: out.extend(df.collect())).start()
+
+    got = _in_parts(spark, tmp_path, [rows[:2] + rows[5:6], rows[2:4], [rows[4], rows[6]]], "in", start)
+    want = _as_dict(conversation.process(_messages(spark, rows)).collect())
+    assert want[("t1", 6)] == ("ok", "My name is <fn_1> <ln_1>", 1, 3)
+    assert _as_dict(got) == want
+
+
+def test_stored_vaults_in_a_stream_and_writes(spark, tmp_path):
+    from spanveil.streaming.session import Health, write_behind
+
+    v = Vault()
+    v.assign("fn", "Orla")
+    stored = spark.createDataFrame([("c", "a", "v", "s", "t9", json.dumps(v.snapshot()), 0.0)], ", ".join(f"{c} string" for c in conversation.SCOPE) + ", snapshot string, last_access double")
+    parts = [[("t9", 1, "out", 5.0, "Hi <fn_1>", None, None, False, True), ("t8", 1, "in", 5.0, "My name is Tam Vey", None, None, False, True)], [("t8", 2, "end", 6.0, None, None, None, False, True)]]
+    store, health = MemoryStore(spark), Health()
+
+    def start(results, out):
+        return write_behind(results, store, config.Settings(), str(tmp_path / "ck"), health, lambda df, i: out.extend(df.collect()), once=True)
+
+    seen = _in_parts(spark, tmp_path, parts, "good", start, stored=stored, with_snapshots=True)
+    assert {r.text for r in seen} == {"Hi Orla", "My name is <fn_1> <ln_1>", None} and not health.failed
+    assert [r.scope_key for r in store.rows.collect()] == ["c:a:v:s:t9"]
+
+
+def test_a_failed_store_blocks(spark, tmp_path):
+    from spanveil.streaming.session import Health, write_behind
+
+    store, health, seen = MemoryStore(spark), Health(), []
+    store.save = lambda rows: (_ for _ in ()).throw(StoreError("down"))
+    schema = conversation.process(_messages(spark, ROWS), with_snapshots=True)
+    schema.coalesce(1).write.parquet(str(tmp_path / "results"))
+    for blocks in (True, False):
+        results = spark.readStream.schema(schema.schema).parquet(str(tmp_path / "results"))
+        settings = config.Settings(persistence_block_on_error=blocks)
+        q = write_behind(results, store, settings, str(tmp_path / f"ck {blocks}"), health, lambda df, i: seen.extend(df.collect()), once=True)
+        try:
+            q.awaitTermination(60)
+        except Exception:
+            assert blocks
+        assert health.failed and health.failures[-1][1] == "down" and len(seen) == (0 if blocks else len(ROWS))
+    with pytest.raises(StoreError):
+        health.require(config.Settings())
+    health.require(config.Settings(persistence_block_on_error=False))
+
+
+def test_snapshots_of_a_batch(spark):
+    got = conversation.process(_messages(spark, ROWS), with_snapshots=True).where("op = 'vault'").collect()
+    assert {r.thread_id: r.status for r in got} == {"t1": "gone", "t2": "kept"}
+    assert Vault.restore(json.loads(next(r.snapshot for r in got if r.snapshot))).values == {"<fn_1>": "Jem", "<ln_1>": "Lorne"}
+
+
+def test_models_by_settings(spark):
+    from spanveil.operators.models import ModelError, ModelPlan, failures
+
+    found = lambda model, labels: lambda text: [{"label": "name", "score": 0.9, "text": "Zed Vey"}, {"label": "name", "score": 0.5, "text": "Low"}, {"label": "city", "score": 1.0, "text": "Lorne"}]
+    plan = ModelPlan(config.Settings(), None, found)
+    assert [p["text"] for p in plan().names("x")] == ["Zed Vey"] and plan().failures == ("contacts: no contacts model is given",)
+    assert [r.failure for r in failures(spark, plan).collect()] == ["contacts: no contacts model is given"]
+    assert ModelPlan(config.Settings(use_contact_model=False, use_name_model=False))() .failures == ()
+    with pytest.raises(ModelError):
+        ModelPlan(config.Settings(require_contact_model=True))()
+    rows = [("t1", 1, "in", 0.0, "we met Zed Vey there", None, None, False, True)]
+    assert conversation.process(_messages(spark, rows), models=plan).first().text == "we met <fn_1> <ln_1> there"
+
+
+def test_odd_lines(spark, tmp_path):
+    rows = [("f", 0, "Thread t1:\n"), ("f", 1, None), ("f", 2, "User (w): I am Orla Quist\n"), ("f", 3, None), (None, 0, "User (w): x\n"), ("g", None, "y")]
+    got = transcript.redact(spark.createDataFrame(rows, "file string, line_no int, line string")).collect()
+    assert len(got) == 6 and {r.redacted for r in got} == {"Thread t1:\n", None, "User (w): I am <fn_1> <ln_1>\n", "User (w): x\n", "y"}
+    (tmp_path / "odd.txt").write_bytes("Thread t1:\r\nUser (w): I am Orla Quist\rnext\x0bline\u2028end".encode())
+    lines = [r.line for r in transcript.read_lines(spark, str(tmp_path / "odd.txt")).orderBy("line_no").collect()]
+    assert lines == ["Thread t1:\n", "User (w): I am Orla Quist\n", "next\x0b", "line\u2028", "end"]
+
+
+def test_named_outputs(spark, tmp_path):
+    (tmp_path / "talk.a.txt").write_text("Thread t1:\nUser (w): I am Orla Quist\nbye\n")
+    want = "Thread t1:\nUser (w): I am <fn_1> <ln_1>\nbye\n"
+    where, counted = transcript.redact_file(spark, str(tmp_path / "talk.a.txt"))
+    assert where == str(tmp_path / "talk.a.redacted.txt") and (tmp_path / "talk.a.redacted.txt").read_text() == want and counted.user_blocks == 1
+    transcript.write(transcript.redact(transcript.read_lines(spark, str(tmp_path / "talk.a.txt"))), str(tmp_path / "out"), tag="x")
+    (part,) = (tmp_path / "out" / "name=talk.a.redacted.x.txt").glob("part-*.txt")
+    assert part.read_text() == want
+    (tmp_path / "terms.json").write_text('{"plan": ["Orla Quist"]}')
+    transcript.main([str(tmp_path / "talk.a.txt"), "--output", str(tmp_path / "o.txt"), "--terms", str(tmp_path / "terms.json"), "--mode", "both"])
+    assert (tmp_path / "o.txt").exists()
+
+
 def test_transcript_files(spark, tmp_path):
     text = "Started: now | Thread: t1\nAgent (bot):\nWhat is your first name?\n\nUser (web): Orla\n[Area: x]\nmail oq@mail.example.com\n" + "=" * 20 + "\nUser (web): Orla\n"
     (tmp_path / "talk.txt").write_text(text)
