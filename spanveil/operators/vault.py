@@ -104,41 +104,45 @@ class Vault:
 
     @classmethod
     def restore(cls, data: dict) -> Vault:
-        """From a snapshot; token order comes from entity_to_tokens, else from the map by number, else from the tokens."""
-
-        def table(name: str) -> dict:
-            part = data.get(name, {})
-            return part if isinstance(part, dict) else {}
-
-        def ordered(pairs) -> dict[str, list[str]]:
-            found: dict[str, set[str]] = {e: set() for e in ENTITIES}
-            for entity, token in pairs:
-                if entity in found and isinstance(token, str):
-                    found[entity].add(token)
-            number = lambda t: int(m["n"]) if (m := TOKEN.match(t)) else 0
-            return {e: sorted(t, key=number) for e, t in found.items() if t}
-
-        out = cls(profile=int(data.get("current_profile", 1)))
-        out.values = {str(k): str(v) for k, v in table("token_to_value").items()}
-        for entity, listed in table("entity_to_tokens").items():
-            kept = [t for t in listed if isinstance(t, str)] if entity in ENTITIES and isinstance(listed, list) else []
-            if kept:
-                out.tokens[entity] = kept
-        if not out.tokens:
-            out.tokens = ordered(p for m in table("profile_entity_to_token").values() if isinstance(m, dict) for p in m.items())
-        if not out.tokens:
-            out.tokens = ordered((m["entity"], t) for t in out.values if (m := TOKEN.match(t)))
-        for entity, n in table("entity_counters").items():
-            try:
-                if entity in ENTITIES:
-                    out.counters[entity] = int(n)
-            except (TypeError, ValueError):
-                pass
+        """From a snapshot. What parts of it lack, or hold in another shape, the others make up for.
+
+        The order of an entity's tokens is the listed one, else that of their
+        numbers among the profiles, else among the values; a counter is the given
+        one, or, if none is given, the highest number.
+        """
+        part = lambda name: data[name] if isinstance(data.get(name), dict) else {}
+        out = cls(profile=int(data.get("current_profile", 1)), values={str(t): str(v) for t, v in part("token_to_value").items()})
+        named = {t: m for t in out.values if (m := TOKEN.match(t))}
+        sources = (
+            (((e, t) for e, ts in part("entity_to_tokens").items() if isinstance(ts, list) for t in ts), False),
+            (((e, t) for own in part("profile_entity_to_token").values() if isinstance(own, dict) for e, t in own.items()), True),
+            (((m["entity"], t) for t, m in named.items()), True),
+        )
+        out.tokens = next((found for pairs, by_number in sources if (found := _by_entity(pairs, by_number))), {})
+        out.counters = {e: int(n) for e, n in part("entity_counters").items() if e in ENTITIES and _whole(n)}
         if not out.counters:
-            tops = {e: max((int(m["n"]) for t in ts if (m := TOKEN.match(t))), default=0) for e, ts in out.tokens.items()}
-            out.counters = {e: n for e, n in tops.items() if n > 0}
-        for token, value in out.values.items():
-            m = TOKEN.match(token)
-            if m and m["entity"] in ENTITIES and value:
-                out._index[m["entity"], normalise(m["entity"], value)] = token
+            out.counters = {e: top for e, ts in out.tokens.items() if (top := max(map(_number, ts))) > 0}
+        out._index = {(m["entity"], normalise(m["entity"], out.values[t])): t for t, m in named.items() if m["entity"] in ENTITIES and out.values[t]}
         return out
+
+
+def _number(token: str) -> int:
+    m = TOKEN.match(token)
+    return int(m["n"]) if m else 0
+
+
+def _whole(n) -> bool:
+    try:
+        int(n)
+    except (TypeError, ValueError):
+        return False
+    return True
+
+
+def _by_entity(pairs, by_number: bool) -> dict[str, list[str]]:
+    """Tokens of each entity, as they come, or each once by their numbers."""
+    found: dict[str, list[str]] = {}
+    for entity, token in pairs:
+        if entity in ENTITIES and isinstance(token, str):
+            found.setdefault(entity, []).append(token)
+    return {e: sorted(set(ts), key=lambda t: (_number(t), t)) for e, ts in found.items()} if by_number else found

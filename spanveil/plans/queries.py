@@ -407,6 +407,38 @@ def conversation_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation.process(_conversation(spark, sf_dir)).select("thread_id", "seq", "status", "text")
 
 
+@query(
+    f"""SELECT CAST(c_custkey AS VARCHAR) AS thread_id, CAST(seq AS BIGINT) AS seq, CASE seq WHEN 2 THEN 'Dear ' || {_TALK[0]} || ' ' || {_TALK[1]} || right({_TALK[1]}, 1) ELSE '<fn_1> <ln_1>' END AS text
+FROM customer, range(3) r(seq)"""
+)
+def corrected_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A last name comes again with its last letter twice: its token takes the new spelling."""
+    key = F.col("c_custkey")
+    first, last = _pick(key, golden.FIRST), _pick(key, golden.LAST)
+    turns = (
+        (0, "in", F.concat_ws(" ", first, last), "What is your full name?"),
+        (1, "in", F.concat_ws(" ", first, F.concat(last, F.right(last, F.lit(1)))), "Thanks. E-mail or phone?"),
+        (2, "out", F.lit("Dear <fn_1> <ln_1>"), None),
+    )
+    ops = F.array(*(F.struct(F.lit(seq).cast("bigint").alias("seq"), F.lit(op).alias("op"), F.lit(float(seq)).alias("ts"), m.alias("message"), F.lit(p).cast("string").alias("previous")) for seq, op, m, p in turns))
+    rows = _read(spark, sf_dir, "customer").select(*(F.lit(s).alias(s) for s in conversation.SCOPE[:-1]), key.cast("string").alias("thread_id"), F.explode(ops).alias("o"))
+    rows = rows.select(*conversation.SCOPE, "o.*", F.array().cast("array<string>").alias("terms"), F.lit(False).alias("new_user"), F.lit(True).alias("closed"))
+    return conversation.process(rows).select("thread_id", "seq", "text")
+
+
+# Every turn of every conversation, whole: user turns are redacted, all others restored, which leaves texts without tokens as they are.
+@query(
+    """WITH t AS (SELECT conv_id, turn, role, text, count(*) FILTER (role = 'user') OVER (PARTITION BY conv_id ORDER BY turn) AS seen FROM conversations)
+SELECT conv_id, CAST(turn AS BIGINT) AS turn, CASE WHEN role = 'user' OR seen > 0 THEN 'ok' ELSE 'raw' END AS status, CASE WHEN role <> 'user' THEN md5(text) END AS restored FROM t"""
+)
+def conversation_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = context.previous_assistant(_read(spark, sf_dir, "conversations"))
+    empty = F.lit("")
+    op = F.when(F.col("role") == "user", "in").otherwise("out").alias("op")
+    rows = turns.select(*(empty.alias(s) for s in conversation.SCOPE[:-1]), F.col("conv_id").cast("string").alias("thread_id"), F.col("turn").cast("bigint").alias("seq"), op, F.col("turn").cast("double").alias("ts"), F.col("text").alias("message"), "previous", F.array().cast("array<string>").alias("terms"), F.lit(False).alias("new_user"), F.lit(False).alias("closed"))
+    return conversation.process(rows).select(F.col("thread_id").cast(turns.schema["conv_id"].dataType).alias("conv_id"), F.col("seq").alias("turn"), "status", F.when(F.col("op") == "out", F.md5("text")).alias("restored"))
+
+
 @query("SELECT user_id, event_id, CAST(1 + sum(n) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS generation FROM (SELECT *, CASE WHEN ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 3600 SECOND THEN 1 ELSE 0 END AS n FROM events)")
 def scope_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.generations(_read(spark, sf_dir, "events"), "user_id", "ts", "event_id").select("user_id", "event_id", "generation")
