@@ -38,6 +38,8 @@ N_FEATURES = 13
 #: Weights: one for each bin of each feature, and a bias.
 SIZE = N_FEATURES * BINS + 1
 RIDGE, MAX_STEPS = 1e-3, 12
+#: Ids of positives are broadcast up to so many, after a count; beyond it the same join shuffles.
+BROADCAST_IDS = 1_000_000
 #: Scores of the held-back half are counted in so many bins.
 SCORE_BINS = 1000
 
@@ -207,7 +209,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> dict[int, np.ndarray]:
 
 
 def _matrix(batch: pa.RecordBatch) -> np.ndarray:
-    return np.frombuffer(b"".join(batch.column("x").to_pylist()), np.float64).reshape(-1, N_FEATURES)
+    return batch.column("x").flatten().to_numpy().reshape(-1, N_FEATURES)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
@@ -222,15 +224,17 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) ->
     """
     scratch, spark = Scratch(docs.sparkSession, "pu"), docs.sparkSession
     both = lambda column: [*text_counts(column), bags(column)]
-    counted = scratch.save(with_text(docs, both, FIELDS + ", bag: binary", keep=["doc_id"]))
+    counted = with_text(docs, both, FIELDS + ", bag: binary", keep=["doc_id"])
     doc_id = F.col("row.doc_id")
     good = labels.where(F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias("labelled")).agg(F.min("quality").alias("q")).where("q = 1")
     train = ~held_out(doc_id) & doc_id.isNotNull()
     fold, half = F.when(train, F.pmod(F.xxhash64(doc_id), F.lit(FOLDS))).otherwise(FOLDS).cast("int"), F.pmod(F.xxhash64(doc_id, F.lit("half")), F.lit(2)).cast("int")
+    good = scratch.save(good)
+    good = F.broadcast(good) if good.count() <= BROADCAST_IDS else good
     flagged = counted.join(good, doc_id == F.col("labelled"), "left").select(doc_id.alias("doc_id"), held_out(doc_id).alias("held_out"), fold.alias("fold"), half.alias("half"), (train & F.col("q").isNotNull()).alias("positive"), "got.*")
     flagged = scratch.save(flagged)
     n = flagged.count()
-    scratch.drop(counted)
+    scratch.free()
 
     # Evidence of words, and features.
     by_kind = added(flagged.where(F.col("fold") < FOLDS).select("fold", "positive", "bag"), 2 * FOLDS, _count_words)
@@ -243,16 +247,16 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) ->
             evidence = np.array([float(odds.value[f][b].mean()) if len(b) else 0.0 for b, f in own])
             x = features({c: batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in COUNTS}, evidence)
             kept = ["doc_id", "held_out", "fold", "half", "positive"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array([r.tobytes() for r in x], pa.binary()), pa.array(list(x), pa.list_(pa.float64()))], [*kept, "x", "values"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(list(x), pa.list_(pa.float64()))], [*kept, "x"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = scratch.save(flagged.mapInArrow(featured, f"doc_id {kind}, held_out boolean, fold int, half int, positive boolean, x binary, values array<double>"), n)
+    rows = scratch.save(flagged.mapInArrow(featured, f"doc_id {kind}, held_out boolean, fold int, half int, positive boolean, x array<double>"), n)
     scratch.drop(flagged)
     training = rows.where(F.col("fold") < FOLDS)
 
     # Bins by quantiles of all training rows.
     at = [i / BINS for i in range(1, BINS)]
-    quantiles = training.agg(*(F.percentile_approx(F.col("values")[j], at, 10_000).alias(str(j)) for j in range(N_FEATURES))).first()
+    quantiles = training.agg(*(F.percentile_approx(F.col("x")[j], at, 10_000).alias(str(j)) for j in range(N_FEATURES))).first()
     cuts = np.array([q if q is not None else [0.0] * (BINS - 1) for q in quantiles])
 
     def totals(part: DataFrame) -> Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]:
