@@ -50,7 +50,7 @@ _CHUNKS = 16
 #: Tables of ids, columns or sets are broadcast up to so many rows (or shingles) of them, after a count; beyond it the same join shuffles.
 BROADCAST_IDS = 100_000
 #: A column is crowded from so many classes on; a block takes about so many, of about so many shingles.
-CROWD, BLOCK_ROWS, BLOCK_SHINGLES = 5, 1024, 1 << 22
+CROWD, BLOCK_ROWS, BLOCK_SHINGLES = 5, 1024, 1 << 20
 #: A column is heavy if it holds more than so many pairs of different components for each of its classes.
 HEAVY = 16
 
