@@ -35,7 +35,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -248,7 +247,7 @@ class _Join:
         dealt = homes.select("v", "home", "comp", "own", other.alias("other")).select("v", "comp", "home", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
         self.read(homes.select("v"), n)
         num, den = self.num, self.den
-        found = self.sets.join(_small(dealt, n), "v").groupBy("home", "lo", "hi").applyInPandas(lambda rows: _forest(rows, num, den), "u bigint, v bigint")
+        found = self.sets.join(_small(dealt, n), "v").groupBy("home", "lo", "hi").applyInArrow(lambda rows: _forest(rows, num, den), "u bigint, v bigint")
         return self.scratch.save(found, self.n_heads)
 
     def read(self, ids: DataFrame, n: int) -> None:
@@ -263,17 +262,17 @@ class _Join:
         self.scratch.drop(ids)
 
 
-def _forest(rows: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
+def _forest(rows: pa.Table, num: int, den: int) -> pa.Table:
     """The product of a block's rows with each other, row by row; only links that join two trees are kept. Rows of one component are one tree from the start."""
-    rows = rows.drop_duplicates("v")
-    ids, sets = rows["v"].to_numpy(np.int64), list(rows["shingles"])
-    sizes = np.array([len(x) for x in sets])
-    _, column = np.unique(np.concatenate(sets), return_inverse=True)
+    rows = rows.take(pa.array(np.sort(np.unique(rows.column("v").to_numpy(), return_index=True)[1]))).combine_chunks()
+    ids, sets = rows.column("v").to_numpy(), rows.column("shingles").combine_chunks()
+    sizes = np.diff(sets.offsets.to_numpy())
+    _, column = np.unique(sets.flatten().to_numpy(), return_inverse=True)
     ends = np.cumsum(sizes)
     by_column = np.argsort(column, kind="stable")
     row_of = np.repeat(np.arange(len(sets)), sizes)[by_column]
     first = np.searchsorted(column[by_column], np.arange(column.max() + 2))
-    up, out = np.unique(rows["comp"].to_numpy(np.int64), return_inverse=True)[1], []
+    up, out = np.unique(rows.column("comp").to_numpy(), return_inverse=True)[1], []
     for i in range(len(sets)):
         mine = column[ends[i] - sizes[i] : ends[i]]
         lengths = first[mine + 1] - first[mine]
@@ -284,7 +283,8 @@ def _forest(rows: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
             if up[i] != up[j]:
                 out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
                 up[up == up[j]] = up[i]
-    return pd.DataFrame(out, columns=["u", "v"], dtype=np.int64)
+    u, v = zip(*out, strict=True) if out else ((), ())
+    return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
 
 def _linked(docs: DataFrame, scratch: Scratch, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
