@@ -77,6 +77,20 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
 
 
+# ---- parts of operators that SQL can express ----
+def base_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base spans of op1."""
+    got = secret_scan.find_secrets(_table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return got.select("row.doc_id", "got.n_assign", "got.n_access", "got.n_hex", F.sha2("got.base_spans", 256).alias("base_sha256"))
+
+
+def base_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts and the base rule of op4."""
+    counted = quality_rules.counts_of(_table(spark, sf_dir, "documents"), keep=["doc_id"])
+    judged = quality_rules.judge(counted, quality_rules.fit_label_model({}))
+    return judged.select("row.doc_id", *(f"got.{c}" for c in quality_rules.COUNTS[:5]), "base_failed")
+
+
 def queries() -> dict[str, Query]:
     found = (
         op1_secret_scan,
@@ -93,6 +107,11 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in found}
 
 
+def parts() -> dict[str, Query]:
+    """Queries over what of an operator SQL can express."""
+    return {f.__name__: f for f in (base_secrets, base_quality)}
+
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 _TEMPLATES = ", ".join(f"({i}, '{label}', '{words}')" for i, (label, words) in enumerate(licenses.TEMPLATES))
@@ -107,7 +126,31 @@ _PLACES = ", ".join(f"{_starts(phrase)} AS p_{label}" for label, phrase in licen
 _EVERY = f"list_concat(list_concat(p_{licenses.PHRASES[0][0]}, p_{licenses.PHRASES[1][0]}), p_{licenses.PHRASES[2][0]})"
 _BASE = " || ".join(f"CASE WHEN len(p_{label}) > 0 THEN ['{label}'] ELSE CAST([] AS VARCHAR[]) END" for label, _ in licenses.PHRASES)
 
+def _spans(k: int, kind: str, pattern: str, group: int, least: int) -> str:
+    """Rows (doc_id, k, kind, s, e): matches stand between the parts of a split by the same pattern."""
+    return f"""SELECT doc_id, {k} AS k, '{kind}' AS kind, s, s + length(v[i]) AS e FROM (
+  SELECT doc_id, i, v, g, list_sum(list_transform(list_slice(gaps, 1, i), lambda x: length(x))) + coalesce(list_sum(list_transform(list_slice(v, 1, i - 1), lambda x: length(x))), 0) AS s FROM (
+    SELECT doc_id, v, g, gaps, unnest(range(1, len(v) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{pattern}', 0) AS v, regexp_extract_all(text, '{pattern}', {group}) AS g, string_split_regex(text, '{pattern}') AS gaps FROM t))) WHERE length(g[i]) >= {least}"""
+
+
+_ASSIGN = r"((?i:password|passwd|secret|token|api_?key))[\"\x27]?\x20*[:=]\x20*[\"\x27]?([A-Za-z0-9+/_.=-]+)"
+
+_SPACED = "regexp_extract_all(coalesce(text, ''), '[^ \\t-\\r]+')"
+
 _SQL = {
+    "base_secrets": f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+m AS ({_spans(0, 'assign', _ASSIGN, 2, 6)} UNION ALL {_spans(1, 'access', 'AKIA[A-Z0-9]+', 0, 20)} UNION ALL {_spans(2, 'hex', '[0-9a-f]{24,}', 0, 24)}),
+g AS (SELECT doc_id, count(*) FILTER (k = 0) AS a, count(*) FILTER (k = 1) AS b, count(*) FILTER (k = 2) AS c, string_agg(kind || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY s, k) AS l FROM m GROUP BY doc_id)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex, sha256(coalesce(l, '')) AS base_sha256 FROM documents LEFT JOIN g USING (doc_id)""",
+    "base_quality": f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text, {_SPACED} AS w FROM documents),
+tri AS (SELECT doc_id, p, w[p] || ' ' || w[p + 1] || ' ' || w[p + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS p FROM t)),
+again AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, g) AS n FROM tri) WHERE n > 1),
+covered AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest(range(p, p + 3)) AS q FROM again) GROUP BY doc_id),
+lines AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line) AS k FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t) WHERE regexp_matches(line, '[^ \\t-\\r]')),
+dup AS (SELECT doc_id, count(*) AS n FROM lines WHERE k > 1 GROUP BY doc_id),
+c AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words
+  FROM t LEFT JOIN dup USING (doc_id) LEFT JOIN covered USING (doc_id))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c""",
     "op10_license_scan": f"""WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM documents),
 t AS (SELECT template, label, string_split(words, ' ') AS w FROM (VALUES {_TEMPLATES}) v(template, label, words)),
 tg AS (SELECT template, label, len(w) - 2 AS grams, p AS spot, array_to_string(list_slice(w, p, p + 2), ' ') AS g FROM (SELECT template, label, w, unnest(range(1, len(w) - 1)) AS p FROM t)),
@@ -142,5 +185,5 @@ SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(c) AS component_id F
 
 
 def oracle_sql() -> dict[str, str]:
-    """The label model, trained scores, page layouts, keyed permutations, worklists, bucket search and diagonals have no SQL here; tests hold them against plain versions."""
+    """The label model, trained scores, page layouts, keyed permutations, decoded layers and bucket search have no SQL here; tests hold them against plain versions."""
     return dict(_SQL)
