@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanveil.operators.folds import fold
+
 
 def previous_assistant(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """Adds ``previous``: the last assistant text strictly before each turn, null without one."""
@@ -25,28 +27,40 @@ def profile_index(accesses: DataFrame, keys: list[str], order: list[str], new_us
     return accesses.withColumn("profile", 1 + F.sum(F.coalesce(F.col(new_user), F.lit(False)).cast("int")).over(w))
 
 
-def lru_evictions(accesses: DataFrame, key: str, ts: str, order: str, capacity: int = 15, ttl_seconds: int = 3600) -> DataFrame:
+def lru_evictions(accesses: DataFrame, key: str, ts: str, order: str, capacity: int = 15, ttl_seconds: int = 3600, blocks_per_ttl: int = 12) -> DataFrame:
     """(order, key, ts, evicted): whether a key fell out of a cache of ``capacity`` keys since its last access.
 
-    It did if at least ``capacity`` other keys came in between. Each of them is
-    counted at its last access in between, so a count of rows will do. Beyond the
-    TTL a key has expired instead, which bounds the look back: rows meet by
-    blocks of one TTL. A key's first access and one after expiry are not evictions.
+    It did if at least ``capacity`` other keys came in between, that is, if it is
+    not among the ``capacity`` keys accessed last. Time is cut into blocks. Each
+    block's own last keys, at most ``capacity``, tell in one fold over the blocks
+    which keys were last before each; from there the blocks are walked through in
+    parallel, in time linear in their rows. A key's first access and one after
+    the TTL are not evictions.
     """
-    w = Window.partitionBy("k").orderBy("t", "o")
-    rows = accesses.select(F.col(order).alias("o"), F.col(key).alias("k"), F.col(ts).cast("timestamp").alias("t")).withColumns(
-        {"was": F.lag("t").over(w), "was_o": F.lag("o").over(w), "then": F.lead("t").over(w), "then_o": F.lead("o").over(w)}
-    )
-    block = lambda c: F.floor(F.unix_micros(c) / (ttl_seconds * 1_000_000))
-    live = (F.unix_micros("t") - F.unix_micros("was")) <= ttl_seconds * 1_000_000
-    ask = rows.where(live).select("o", "k", "t", "was", "was_o", F.explode(F.sequence(block(F.col("was")), block(F.col("t")))).alias("block"))
-    other = rows.select(F.col("o").alias("o2"), F.col("k").alias("k2"), F.col("t").alias("t2"), F.col("then").alias("then2"), F.col("then_o").alias("then_o2"), block(F.col("t")).alias("block"))
-    after = F.struct("t2", "o2") > F.struct("was", "was_o")
-    before = F.struct("t2", "o2") < F.struct("t", "o")
-    lastly = F.col("then2").isNull() | (F.struct("then2", "then_o2") > F.struct("t", "o"))
-    between = ask.join(other, "block").where((F.col("k") != F.col("k2")) & after & before & lastly).groupBy("o").agg(F.count(F.lit(1)).alias("n"))
-    out = rows.join(between, "o", "left")
-    return out.select(F.col("o").alias(order), F.col("k").alias(key), F.col("t").alias(ts), (F.coalesce("n", F.lit(0)) >= capacity).alias("evicted"))
+    width = ttl_seconds * 1_000_000 / blocks_per_ttl
+    mine = Window.partitionBy("k").orderBy("t", "o")
+    rows = accesses.select(F.col(order).alias("o"), F.col(key).alias("k"), F.col(ts).cast("timestamp").alias("t"))
+    rows = rows.withColumns({"block": F.floor(F.unix_micros("t") / width), "live": F.coalesce(F.unix_micros("t") - F.unix_micros(F.lag("t").over(mine)) <= ttl_seconds * 1_000_000, F.lit(False))})
+    lasts = rows.groupBy("block", "k").agg(F.max(F.struct("t", "o")).alias("at"))
+    late = lasts.withColumn("rank", F.row_number().over(Window.partitionBy("block").orderBy(F.col("at").desc()))).where(F.col("rank") <= capacity)
+    own = late.groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "k"))), lambda x: x["k"]).alias("own")).withColumn("all", F.lit(0))  # ``capacity`` keys
+    kind = rows.select("block", F.array("k").alias("before")).schema
+
+    def carry(recent: list, row: dict) -> list[dict]:
+        out = [{"block": row["block"], "before": list(recent)}]
+        recent[:] = (row["own"] + [k for k in recent if k not in row["own"]])[:capacity]
+        return out
+
+    before = fold(own, ["all"], [F.col("block")], list, carry, kind)  # a row for each block
+
+    def walk(state: dict, row: dict) -> list[dict]:
+        recent = state.setdefault("recent", list(row["before"]))
+        out = [{order: row["o"], key: row["k"], ts: row["t"], "evicted": row["live"] and row["k"] not in recent}]
+        recent[:] = ([row["k"], *(k for k in recent if k != row["k"])])[:capacity]
+        return out
+
+    result = rows.select(F.col("o").alias(order), F.col("k").alias(key), F.col("t").alias(ts), F.col("live").alias("evicted")).schema
+    return fold(rows.join(before, "block"), ["block"], [F.col("t"), F.col("o")], dict, walk, result)
 
 
 def most_recent(accesses: DataFrame, key: str, ts: str, n: int = 15) -> DataFrame:

@@ -2,8 +2,8 @@
 
 A store is a keyed table: scope_key, the scope's parts, key_version, expires_at
 (ISO), payload, updated_at. Snapshots are sealed with a key of their own scope.
-Upserts replace a key's row; Spark's plain tables have no merge, so a new version
-is written beside the old one and a pointer file names it.
+Upserts replace a key's row; Spark's plain tables have no merge, so new versions
+of the parts concerned are written beside the old ones and a pointer file names them.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ import importlib
 import uuid
 from typing import Protocol
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,28 +63,50 @@ class MemoryStore:
         self.rows = self.rows.join(keys.select("scope_key"), "scope_key", "left_anti")
 
 
+#: A table store's rows are dealt into so many parts by a hash of their key.
+PARTS = 64
+
+
 class TableStore:
-    """Sealed rows as Parquet under ``path``, a folder for each version."""
+    """Sealed rows as Parquet under ``path``, in parts by a hash of the key.
 
-    def __init__(self, spark: SparkSession, path: str, master_key: str):
+    A write touches the parts of its keys only: each gets a new folder, and then
+    the pointer file, which names the folder of every part, is replaced.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, master_key: str, parts: int = PARTS):
         if not path or not master_key:
             raise StoreError("a table store needs a path and a master key")
-        self.spark, self.path, self.master = spark, path, F.lit(master_key)
+        self.spark, self.path, self.master, self.parts = spark, path, F.lit(master_key), parts
 
-    def _pointer(self) -> str:
-        return f"{self.path}/current"
+    def _part(self) -> F.Column:
+        return F.pmod(F.xxhash64("scope_key"), F.lit(self.parts)).cast("int")
 
-    def _rows(self) -> DataFrame:
+    def _folders(self) -> dict[int, str]:
         try:
-            names = self.spark.read.schema("value string").text(self._pointer()).collect()  # one line
-        except Exception:
-            return self.spark.createDataFrame([], ROW)
-        return self.spark.read.schema(ROW).parquet(f"{self.path}/{names[0]['value']}") if names else self.spark.createDataFrame([], ROW)
-
-    def _swap(self, rows: DataFrame) -> None:
+            lines = self.spark.read.schema("value string").text(f"{self.path}/current").collect()  # one for each part
+        except AnalysisException:  # nothing was written yet
+            return {}
+        return {int(n): name for n, _, name in (r["value"].partition("=") for r in lines)}
+
+    def _rows(self, folders: dict[int, str] | None = None) -> DataFrame:
+        folders = self._folders() if folders is None else folders
+        paths = sorted({f"{self.path}/{name}/part={n}" for n, name in folders.items()})
+        return self.spark.read.schema(ROW).parquet(*paths) if paths else self.spark.createDataFrame([], ROW)
+
+    def _change(self, keys: DataFrame, change) -> None:
+        """Rewrite the parts that hold ``keys`` as ``change`` makes them of their rows."""
+        touched = {r["part"] for r in keys.select(self._part().alias("part")).distinct().collect()}  # at most ``parts``
+        if not touched:
+            return
+        folders = self._folders()
         name = f"v-{uuid.uuid4().hex}"
-        rows.write.parquet(f"{self.path}/{name}")
-        self.spark.createDataFrame([(name,)], "value string").coalesce(1).write.mode("overwrite").text(self._pointer())
+        new = change(self._rows({n: f for n, f in folders.items() if n in touched}))
+        new.withColumn("part", self._part()).repartition("part").write.partitionBy("part").parquet(f"{self.path}/{name}")
+        kept = {r["part"] for r in self.spark.read.schema(f"{ROW}, part int").parquet(f"{self.path}/{name}").select("part").distinct().collect()} if touched else set()
+        folders = {n: f for n, f in folders.items() if n not in touched} | dict.fromkeys(kept, name)
+        lines = [(f"{n}={f}",) for n, f in sorted(folders.items())]
+        self.spark.createDataFrame(lines, "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/current")
 
     def load(self, keys: DataFrame) -> DataFrame:
         """(scope_key, snapshot, key_version) of unexpired rows; only the needed columns and keys are read."""
@@ -99,10 +122,10 @@ class TableStore:
             encrypt(F.col("snapshot"), cipher_key(F.col("key_version"), F.col("scope_key"), self.master)).alias("payload"),
             F.current_timestamp().alias("updated_at"),
         )
-        self._swap(upsert(self._rows(), sealed))
+        self._change(rows, lambda old: upsert(old, sealed))
 
     def delete(self, keys: DataFrame) -> None:
-        self._swap(self._rows().join(keys.select("scope_key"), "scope_key", "left_anti"))
+        self._change(keys, lambda old: old.join(keys.select("scope_key"), "scope_key", "left_anti"))
 
 
 def build_store(spark: SparkSession, settings: Settings, external: object | None = None) -> tuple[VaultStore | None, str]:
