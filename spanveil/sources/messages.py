@@ -9,6 +9,11 @@ REQUEST = (
     " previous_assistant_message string, non_name_allowlist array<string>, failure_mode string, include_replacements boolean"
 )
 
+REFRESH = (
+    "client_id string, assistant_id string, source_version string, updated_at_epoch double, terms array<string>, payload string,"
+    " selectors array<struct<selector:string,include:string>>"
+)
+
 
 def read_requests(spark: SparkSession, path: str) -> DataFrame:
     """JSON lines with the fields of ``REQUEST``; missing ones are null."""
@@ -17,3 +22,8 @@ def read_requests(spark: SparkSession, path: str) -> DataFrame:
 
 def stream_requests(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
     return spark.readStream.schema(REQUEST).option("maxFilesPerTrigger", files_per_batch).json(path)
+
+
+def read_refreshes(spark: SparkSession, path: str) -> DataFrame:
+    """Requests to refresh an allowlist, as JSON lines with the fields of ``REFRESH``; for ``operators.requests.validate_refresh``."""
+    return spark.read.schema(REFRESH).json(path)

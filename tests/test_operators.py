@@ -285,3 +285,11 @@ def test_store_factory(spark, given, mode):
 def test_read_requests(spark, tmp_path):
     (tmp_path / "r.json").write_text('{"thread_id": "thread_1", "message": "hi", "new_user": true}\n')
     assert messages.read_requests(spark, str(tmp_path / "r.json")).first().new_user
+
+
+def test_read_refreshes(spark, tmp_path):
+    from spanveil.operators import requests
+
+    (tmp_path / "r.json").write_text('{"client_id": "c", "terms": ["x"]}\n{"client_id": "c"}\n{"client_id": "c", "payload": "{}", "selectors": [{"selector": "a", "include": "values"}]}\n')
+    got = requests.validate_refresh(messages.read_refreshes(spark, str(tmp_path / "r.json"))).collect()
+    assert sorted(len(r.errors) for r in got) == [0, 0, 1]
