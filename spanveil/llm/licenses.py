@@ -108,6 +108,8 @@ def scan_licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMP
     apart merge to a span. Null and empty texts have no words and
     no labels. Rows that repeat a doc_id are told apart by their texts; rows that
     repeat both have equal results. Templates shorter than k words can't hit.
+    Texts of any length are scanned whole; other columns, of any name, are not
+    looked at; an empty table gives an empty one.
     """
     spark = docs.sparkSession
     text = F.col("text").cast("string")
