@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 
 
-def _star(edges: DataFrame, large: bool, scratch: Scratch) -> DataFrame:
+def _star(edges: DataFrame, large: bool, scratch: Scratch, n: int) -> DataFrame:
     """One step over edges (u, v), u < v.
 
     Large: a node's larger neighbours are tied to the least of the node and its
@@ -20,7 +20,7 @@ def _star(edges: DataFrame, large: bool, scratch: Scratch) -> DataFrame:
     the edges of a hub are split in the join and never meet in one place.
     """
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
-    least = scratch.save(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+    least = scratch.save(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), n)
     tied = both.join(least, "u")
     if large:
         out = tied.where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b"))
@@ -66,15 +66,16 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     neighbour. Empty edges give an empty table; self loops and repeated edges do
     nothing.
     """
-    parts = -(-edges.count() // EDGES_AT_ONCE) or 1
+    n = edges.count()
+    parts = -(-n // EDGES_AT_ONCE) or 1
     now = scratch.save(edges.where("u <> v").coalesce(parts).mapInArrow(_local, "u bigint, v bigint"))
     while True:
         least = now.groupBy("v").agg(F.min("u").alias("u"), F.max("u").alias("most"))
         open_ends = least.where("u <> most").limit(1).count() or now.join(least.select(F.col("v").alias("u")), "u", "left_semi").limit(1).count()
         if not open_ends:
             break
-        tied = scratch.save(_star(now, True, scratch))
-        step = scratch.save(_star(tied, False, scratch))
+        tied = scratch.save(_star(now, True, scratch, n), n)
+        step = scratch.save(_star(tied, False, scratch, n), n)
         scratch.drop(now)
         scratch.drop(tied)
         now = step

@@ -48,6 +48,8 @@ BYTES_A_COUNTER, LEAST_BITS, MOST_BITS = 96, 22, 26
 _CHUNKS = 16
 #: Tables of ids, columns or sets are broadcast up to so many rows (or shingles) of them, after a count; beyond it the same join shuffles.
 BROADCAST_IDS = 100_000
+#: A task that reads texts takes about so many of them. For the number of files alone: about so many first columns of a text are shared.
+TEXTS_A_FILE, _PREFIX_GUESS = 16_000, 4
 #: A column is crowded from so many classes on; a block takes about so many, of about so many shingles.
 CROWD, BLOCK_ROWS, BLOCK_SHINGLES = 5, 1024, 1 << 20
 #: A column is heavy if it holds more than so many pairs of different components for each of its classes.
@@ -159,7 +161,7 @@ class _Join:
         self.docs, self.scratch, self.k, self.num, self.den = docs, scratch, k, num, den
         self.sets: DataFrame | None = None
         self.heads: DataFrame | None = None
-        self.n_posts = self.n_heads = 0
+        self.n_docs = self.n_posts = self.n_heads = 0
 
     def like(self, a: str, b: str) -> Column:
         """The sizes allow the threshold."""
@@ -257,7 +259,7 @@ class _Join:
         ids = self.scratch.save(self.heads.join(_small(ids, n), "v", "left_semi").select("v", "id", "told"), n)
         some = ids.count()
         if some or self.sets is None:
-            new = self.scratch.save(_whole_sets(self.docs, _small(ids, some), self.k))
+            new = self.scratch.save(_whole_sets(self.docs, _small(ids, some), self.k), self.n_docs, TEXTS_A_FILE)
             self.sets = new if self.sets is None else self.scratch.union(self.sets, new)
         self.scratch.drop(ids)
 
@@ -290,16 +292,19 @@ def _forest(rows: pa.Table, num: int, den: int) -> pa.Table:
 def _linked(docs: DataFrame, scratch: Scratch, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """(rows, links' components): (id, told, n, v) of each row of ``docs`` (id, told, text), and (v, component) of each class with a link."""
     op = _Join(docs, scratch, k, num, den)
-    signed = scratch.save(_signatures(docs, k, num, den))
-    rows = scratch.save(signed.select("id", "told", "n", "v"))
+    n_docs = docs.count()
+    op.n_docs = n_docs
+    signed = scratch.save(_signatures(docs, k, num, den), n_docs, TEXTS_A_FILE)
+    rows = scratch.save(signed.select("id", "told", "n", "v"), n_docs)
     classes = signed.where("v is not null").groupBy("v").agg(F.min(F.struct("id", "told")).alias("rep"), *(F.first(c).alias(c) for c in ("n", "last", "prefix")))
-    classes = scratch.save(classes)
+    classes = scratch.save(classes, n_docs, TEXTS_A_FILE)
     scratch.drop(signed)
     tokens = classes.select(F.explode("prefix").alias("token"))
-    shared = scratch.save(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
+    shared = scratch.save(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), _PREFIX_GUESS * n_docs, 50_000)
     scratch.free()
     places = classes.select("v", "n", F.posexplode("prefix").alias("at", "token"))
-    posts = scratch.save(places.join(_small(shared, shared.count()), "token").withColumn("comp", F.col("v")).withColumn("heavy", F.lit(False)))
+    n_shared = shared.agg(F.count(F.lit(1)), F.coalesce(F.sum("df"), F.lit(0))).first()
+    posts = scratch.save(places.join(_small(shared, n_shared[0]), "token").withColumn("comp", F.col("v")).withColumn("heavy", F.lit(False)), n_shared[1], 100_000)
     scratch.drop(shared)
     scratch.free()
     op.n_posts = n_posts = posts.count()
@@ -345,7 +350,7 @@ def _linked(docs: DataFrame, scratch: Scratch, k: int, num: int, den: int) -> tu
         before = left
     homes = None if homes is None else homes.select("v", "home", "tokens")
     last = op.verify(op.crossing(posts, homes))
-    found = scratch.save(components(last if links is None else scratch.union(links, last), scratch))
+    found = scratch.save(components(last if links is None else scratch.union(links, last), scratch), n_links)
     for done in (posts, op.heads, op.sets):
         scratch.drop(done)
     scratch.free()
@@ -374,9 +379,10 @@ def ngram_jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int
     scratch = Scratch(spark, "jaccard")
     rows, found = _linked(_told(docs), scratch, k, num, den)
     # Least id of each class, then of each component; every join is on a key whose hot values AQE can split.
-    least = scratch.save(rows.where("v is not null").groupBy("v").agg(F.min("id").alias("least")).join(found, "v", "left"))
-    named = scratch.save(least.where("component is not null").groupBy("component").agg(F.min("least").alias("first")))
-    names = scratch.save(least.join(named, "component", "left").select("v", F.coalesce("first", "least").alias("component_id")))
+    n = rows.count()
+    least = scratch.save(rows.where("v is not null").groupBy("v").agg(F.min("id").alias("least")).join(found, "v", "left"), n)
+    named = scratch.save(least.where("component is not null").groupBy("component").agg(F.min("least").alias("first")), n)
+    names = scratch.save(least.join(named, "component", "left").select("v", F.coalesce("first", "least").alias("component_id")), n)
     out = rows.where("v is not null").join(names, "v", "left").select("id", "n", "component_id")
     out = out.unionByName(rows.where("v is null").select("id", "n", F.col("id").alias("component_id")))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
@@ -393,16 +399,17 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFra
     bounded_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "keep")
     rows, found = _linked(_told(docs), scratch, k, num, den)
-    least = scratch.save(rows.where("v is not null").groupBy("v").agg(F.min(F.struct("id", "told")).alias("least"), F.count(F.lit(1)).alias("m")).join(found, "v", "left").withColumn("component", F.coalesce("component", "v")))
-    first = scratch.save(least.groupBy("component").agg(F.min("least").alias("first"), F.sum("m").alias("m")).where("m > 1"))
-    crowd = scratch.save(least.join(first.drop("m"), "component").select("v", "first"))
+    n = rows.count()
+    least = scratch.save(rows.where("v is not null").groupBy("v").agg(F.min(F.struct("id", "told")).alias("least"), F.count(F.lit(1)).alias("m")).join(found, "v", "left").withColumn("component", F.coalesce("component", "v")), n)
+    first = scratch.save(least.groupBy("component").agg(F.min("least").alias("first"), F.sum("m").alias("m")).where("m > 1"), n)
+    crowd = scratch.save(least.join(first.drop("m"), "component").select("v", "first"), n)
     n_crowd = crowd.count()
     if not n_crowd:
         return docs
     # (id, told) of all rows in components of several rows, and whether they stay.
     stays = (F.col("told") == F.col("first.told")) & (F.col("id") == F.col("first.id"))
     known = rows.join(_small(crowd, n_crowd), "v").groupBy("id", "told").agg(F.max(stays).alias("stays"), F.count(F.lit(1)).alias("m")).where("not stays or m > 1")
-    known = scratch.save(known.select(F.struct("id", "told").alias("gone"), "stays"))
+    known = scratch.save(known.select(F.struct("id", "told").alias("gone"), "stays"), n)
     n_gone, n_again = known.agg(F.count_if(~F.col("stays")), F.count_if("stays")).first()
     text = F.coalesce(F.xxhash64(F.col("text").cast("string")), F.lit(0))
     held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").alias("id"), text.alias("told"))

@@ -35,7 +35,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Send the package to the executors, and let Arrow batches hold ``rows`` rows where the session has Spark's default of 10,000, as texts can be long."""
+    """Send the package to the executors, and let Arrow batches hold ``rows`` rows where the session has Spark's default of 10,000, as texts can be long. Spark itself ends a batch at 64 MB."""
     ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key) == "10000":
@@ -65,10 +65,10 @@ class Scratch:
         except Exception:  # the session may have gone before the process
             pass
 
-    def save(self, df: DataFrame, rows: int | None = None) -> DataFrame:
-        """Write ``df`` and return a scan of what was written; of about ``rows`` rows, if given, in files of 50,000 or more."""
+    def save(self, df: DataFrame, rows: int | None = None, per_file: int = 200_000) -> DataFrame:
+        """Write ``df`` and return a scan of what was written; of about ``rows`` rows, if given, in few files of ``per_file`` or more."""
         if rows is not None:
-            df = df.coalesce(max(8, -(-rows // 50_000)))
+            df = df.coalesce(max(4, -(-rows // per_file)))
         self._n += 1
         path = f"{self.root}/{self._n}"
         df.write.parquet(path)
