@@ -29,12 +29,19 @@ def matches(text: Column, pattern: str) -> Column:
 
 
 def contact_spans(text: Column) -> Column:
-    """array<struct<start, end, entity, value>> of e-mail addresses and phone numbers, resolved."""
+    """array<struct<start, end, entity, value>> of e-mail addresses and phone numbers, resolved.
 
-    def typed(entity: str, pattern: str) -> Column:
-        return F.transform(matches(text, pattern), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(entity).alias("entity"), m["value"].alias("value")))
+    A text without an @, or without the last digits of a number, isn't searched
+    for what needs them.
+    """
+    none = F.array().cast("array<struct<start:int,end:int,entity:string,value:string>>")
+
+    def typed(entity: str, pattern: str, needed: Column) -> Column:
+        found = F.transform(matches(text, pattern), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(entity).alias("entity"), m["value"].alias("value")))
+        return F.when(needed, found).otherwise(none)
 
-    return resolve(F.concat(typed("em", EMAIL), typed("ph", PHONE)))
+    mail, phone = F.contains(text, F.lit("@")), text.rlike(r"\d{3}[\s.\-+]*\d{4}")
+    return F.when(mail | phone, resolve(F.concat(typed("em", EMAIL, mail), typed("ph", PHONE, phone)))).otherwise(none)
 
 
 def resolve(spans: Column) -> Column:
