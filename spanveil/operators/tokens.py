@@ -73,17 +73,20 @@ def profiles(vaults: DataFrame) -> DataFrame:
 
 
 def snapshots(vaults: DataFrame) -> DataFrame:
-    """(scope, snapshot): each vault as JSON."""
+    """(scope, snapshot): each vault as JSON, of the form that ``Vault.snapshot`` has. A scope's values make one row."""
     by_entity = vaults.groupBy("scope", "entity").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("n", "token", "value"))).alias("own"))
     whole = by_entity.groupBy("scope").agg(F.array_sort(F.collect_list(F.struct("entity", "n", "own"))).alias("e"))
-    return whole.select(
+    numbered = profiles(vaults).groupBy(F.col("scope").alias("of")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("n").cast("string"), "tokens"))).alias("by_number"))
+    every = F.flatten(F.transform("e", lambda e: F.transform(e["own"], lambda o: F.struct(o["token"], o["value"]))))
+    return whole.join(numbered, F.col("scope").eqNullSafe(F.col("of"))).select(
         "scope",
         F.to_json(
             F.struct(
                 F.lit(1).alias("current_profile"),
-                F.map_from_entries(F.flatten(F.transform("e", lambda e: F.transform(e["own"], lambda o: F.struct(o["token"], o["value"]))))).alias("token_to_value"),
+                F.map_from_entries(every).alias("token_to_value"),
                 F.map_from_entries(F.transform("e", lambda e: F.struct(e["entity"], F.transform(e["own"], lambda o: o["token"])))).alias("entity_to_tokens"),
                 F.map_from_entries(F.transform("e", lambda e: F.struct(e["entity"], e["n"]))).alias("entity_counters"),
+                F.col("by_number").alias("profile_entity_to_token"),
             )
         ).alias("snapshot"),
     )

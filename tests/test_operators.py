@@ -293,3 +293,13 @@ def test_read_refreshes(spark, tmp_path):
     (tmp_path / "r.json").write_text('{"client_id": "c", "terms": ["x"]}\n{"client_id": "c"}\n{"client_id": "c", "payload": "{}", "selectors": [{"selector": "a", "include": "values"}]}\n')
     got = requests.validate_refresh(messages.read_refreshes(spark, str(tmp_path / "r.json"))).collect()
     assert sorted(len(r.errors) for r in got) == [0, 0, 1]
+
+
+def test_snapshots_of_tables_are_those_of_vaults(spark):
+    docs = spark.createDataFrame([("s", 1, "a@b.co and 555 010 2003"), ("s", 2, "c@d.co a@b.co"), (None, 1, "x@y.org")], "scope string, seq int, text string")
+    vaults = tokens.vault_table(tokens.contact_mentions(docs, "scope", "seq", "text"))
+    plain = Vault()
+    for entity, value in (("em", "a@b.co"), ("ph", "555 010 2003"), ("em", "c@d.co")):
+        plain.assign(entity, value)
+    got = {r.scope: json.loads(r.snapshot) for r in tokens.snapshots(vaults).collect()}
+    assert got["s"] == plain.snapshot() and got[None]["token_to_value"] == {"<em_1>": "x@y.org"}
