@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from spanveil import lexicon as lx
 
-EMAIL = r"(?iUu)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b"
+EMAIL = "(?iUu)" + lx.EMAIL
 PHONE = "(?U)" + lx.PHONE
 WORD = r"(?U)[\p{L}\p{M}&&[^\d_]]+(?:['\-][\p{L}\p{M}&&[^\d_]]+)*"
 

@@ -135,6 +135,7 @@ PROSE_BREAKS = (
     "what", "where", "when", "why", "how", "can", "could", "would", "do", "does", "did", "is", "are", "was", "were", "have", "has", "had", "need",
     "just",
 )
+TITLES = ("mr", "mrs", "ms", "dr", "prof")
 ACKNOWLEDGEMENTS = ("yes", "yeah", "yep", "yup", "sure", "ok", "okay")
 LAST_NAME_LABELS = ("last name", "surname", "family name")
 NAME_LABELS = ("last name", "surname", "family name", "first name")

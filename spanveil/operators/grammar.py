@@ -319,3 +319,12 @@ def all_capitalised(text: str) -> bool:
     body = body[:-1] if body[-1:] in tuple(".!?") else body
     words = body.split()
     return body == body.rstrip() and 1 <= len(words) <= 5 and all(_capital(w, 0) == (0, len(w)) for w in words)
+
+
+def untitled(text: str) -> str:
+    """Without a leading title, its full stop and the white space after it."""
+    run = RUN.match(text)
+    if not run or run[0].lower() not in lx.TITLES:
+        return text
+    rest = text[run.end() + (text[run.end() : run.end() + 1] == ".") :]
+    return rest.lstrip() if rest[:1].isspace() else text
