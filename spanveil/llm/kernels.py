@@ -55,7 +55,7 @@ _powers: dict[int, np.ndarray] = {}
 def _power(base: int, n: int) -> np.ndarray:
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 17)
         have = np.full(size, base, U64)
         have[0] = 1
         with np.errstate(over="ignore"):
@@ -80,7 +80,7 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[lo : int(offsets[-1]) if n else 0], offsets - lo
 
 
-def pieces(data: np.ndarray, offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def pieces(data: np.ndarray, offsets: np.ndarray, most: int = 1 << 16) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of whole texts of about ``most`` bytes: (first row, end row, bytes, offsets)."""
     lo, n = 0, len(offsets) - 1
     while lo < n:
