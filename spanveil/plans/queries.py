@@ -357,7 +357,8 @@ def name_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("o_orderkey")
     terms = F.array_remove(F.array(_pick(key, _column(golden.MESSAGES, 2))), "")
     got = conversation.redact_udf(_pick(key, _column(golden.MESSAGES, 0)), _pick(key, _column(golden.MESSAGES, 1)), terms)
-    return _read(spark, sf_dir, "orders").select("o_orderkey", got["text"].alias("redacted"))
+    keys = _read(spark, sf_dir, "orders").select("o_orderkey").repartition(spark.sparkContext.defaultParallelism)  # light rows, heavy rules
+    return keys.select("o_orderkey", got["text"].alias("redacted"))
 
 
 @query(f"SELECT c_custkey, {_sql_pick('c_custkey', _column(golden.TOKENS, 2))} AS similar FROM customer")
