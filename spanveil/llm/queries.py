@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_extract, licenses, packing, pii, quality_classifier, quality_rules, secret_scan, toxicity
+from . import chat_format, decontamination, filter_audit, html_extract, licenses, packing, pii, quality_classifier, quality_rules, secret_scan, toxicity, whitening
 from .jaccard import ngram_jaccard_components
 from .scratch import Scratch
 
@@ -77,7 +78,40 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = whitening.whiten(_table(spark, sf_dir, "embeddings"), keep=["vec_id"])
+    return got.select("row.vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
+
+
+#: A conversation of control strings, which op12 formats beside those of the table.
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.createDataFrame([(-7, 0, "user", CONTROL_TEXT), (-7, 1, "assistant", CONTROL_TEXT)], turns.schema)
+    read = chat_format.read_back(chat_format.format_chats(turns.unionByName(own)))
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("bigint").alias("n_turns"),
+        F.sha2(told, 256).alias("turns_sha256"),
+        F.length("loss").cast("bigint").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 # ---- parts of operators that SQL can express ----
+def base_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact columns of op11."""
+    return op11_embedding_whitening(spark, sf_dir).where("component = 1").select("vec_id", "n", "deviation")
+
+
 def base_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The base spans of op1."""
     got = secret_scan.find_secrets(_table(spark, sf_dir, "documents"), keep=["doc_id"])
@@ -103,13 +137,16 @@ def queries() -> dict[str, Query]:
         op8_pseudonyms,
         op9_ngram_jaccard,
         op10_license_scan,
+        op11_embedding_whitening,
+        op12_chat_format,
+        op13_filter_audit,
     )
     return {f.__name__: f for f in found}
 
 
 def parts() -> dict[str, Query]:
     """Queries over what of an operator SQL can express."""
-    return {f.__name__: f for f in (base_secrets, base_quality)}
+    return {f.__name__: f for f in (base_secrets, base_quality, base_whitening)}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -137,6 +174,16 @@ _ASSIGN = r"((?i:password|passwd|secret|token|api_?key))[\"\x27]?\x20*[:=]\x20*[
 
 _SPACED = "regexp_extract_all(coalesce(text, ''), '[^ \\t-\\r]+')"
 
+def _escaped(text: str) -> str:
+    """SQL for a text with its control strings escaped."""
+    for head in sorted({c[0] for c in chat_format.CONTROLS}):
+        rest = "|".join(re.escape(c[1:]) for c in chat_format.CONTROLS if c[0] == head)
+        text = f"regexp_replace({text}, '({re.escape(head)})(\\\\*)({rest})', '\\1\\\\\\2\\3', 'g')"
+    return text
+
+
+_FLAGS = ["n < 200", "100 * k < 50 * n", "100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t)", "regexp_matches(t, '[#$%&*|]')", "coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)"]
+
 _SQL = {
     "base_secrets": f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 m AS ({_spans(0, 'assign', _ASSIGN, 2, 6)} UNION ALL {_spans(1, 'access', 'AKIA[A-Z0-9]+', 0, 20)} UNION ALL {_spans(2, 'hex', '[0-9a-f]{24,}', 0, 24)}),
@@ -173,6 +220,28 @@ hits AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(r
 its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS l FROM (SELECT DISTINCT doc_id, item FROM m WHERE item IS NOT NULL) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(l, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN its USING (doc_id)""",
+    "base_whitening": f"""WITH v AS (SELECT vec_id, embedding AS e FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+x AS (SELECT row_number() OVER () AS r, vec_id, list_transform(e, lambda c: CAST(floor(CAST(c AS DOUBLE) * {whitening.SCALE}) AS BIGINT) + {whitening.SHIFT}) AS x FROM v),
+l AS (SELECT r, vec_id, unnest(x) AS x, unnest(range(len(x))) AS k FROM x WHERE len(x) = (SELECT len(x) FROM x GROUP BY 1 ORDER BY count(*) DESC, 1 DESC LIMIT 1)),
+s AS (SELECT k, sum(x) AS s, count(*) AS n FROM l GROUP BY k)
+SELECT vec_id, n, CAST(sum((n * x - s) * (n * x - s)) AS BIGINT) AS deviation FROM l JOIN s USING (k) GROUP BY r, vec_id, n""",
+    "op12_chat_format": f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, n, CASE n WHEN 0 THEN 'user' ELSE 'assistant' END, '{CONTROL_TEXT}' FROM range(2) r(n)),
+g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns, coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss,
+  sum({len(chat_format.MARKED.start) + len(chat_format.MARKED.end) + 2} + length(role) + length({_escaped("text")})) AS chars FROM t GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars FROM g""",
+    "op13_filter_audit": f"""WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, {_SPACED} AS w FROM documents),
+c AS (SELECT doc_id, part, t, len(w) AS n, len(list_distinct(w)) AS k FROM d),
+f AS (SELECT doc_id, part, {", ".join(f"{flag} AS {name}" for flag, name in zip(_FLAGS, filter_audit.FILTERS, strict=True))} FROM c),
+m AS (SELECT doc_id, max(coalesce(quality = 1, false)) AS good, max(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
+s AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, {" || ".join(f"CASE WHEN {x} THEN '{x}' ELSE '' END" for x in filter_audit.FILTERS)} AS failed, count(*) AS n FROM f LEFT JOIN m USING (doc_id) GROUP BY ALL),
+a AS (SELECT unnest(string_split('{" ".join(filter_audit.FILTERS)}', ' ')) AS x),
+o AS (SELECT p.x || q.x || r.x || u.x || v.x AS filter_order FROM a p JOIN a q ON q.x <> p.x JOIN a r ON r.x NOT IN (p.x, q.x) JOIN a u ON u.x NOT IN (p.x, q.x, r.x) JOIN a v ON v.x NOT IN (p.x, q.x, r.x, u.x)),
+b AS (SELECT filter_order, CAST(step AS INTEGER) AS step, filter_order[step] AS own, '[' || filter_order[1:step - 1] || '!]' AS before FROM o, range(1, 6) g(step)),
+e AS (SELECT part, filter_order, step, n, good, toxic, failed, own, contains(failed, own) AS fails, regexp_matches(failed, before) AS gone FROM b, s)
+SELECT part, filter_order, step, CAST(coalesce(sum(n) FILTER (NOT fails AND NOT gone), 0) AS BIGINT) AS kept, CAST(coalesce(sum(n) FILTER (fails AND NOT gone), 0) AS BIGINT) AS removed, CAST(coalesce(sum(n) FILTER (fails AND gone), 0) AS BIGINT) AS redundant,
+  CAST(coalesce(sum(n) FILTER (failed = own), 0) AS BIGINT) AS unique_fails, CAST(coalesce(sum(n) FILTER (fails AND NOT gone AND good), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(n) FILTER (fails AND NOT gone AND toxic), 0) AS BIGINT) AS toxic_lost,
+  CAST(coalesce(sum(n * 120 // greatest(length(failed), 1)) FILTER (fails), 0) AS BIGINT) AS shapley FROM e GROUP BY part, filter_order, step""",
     "op9_ngram_jaccard": f"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^ \\t-\\r]+') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, p, p + 2), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS p FROM d WHERE len(w) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
