@@ -14,8 +14,22 @@ from pyspark.sql import functions as F
 
 from spanveil import lexicon as lx
 
-EMAIL = "(?iUu)" + lx.EMAIL
-PHONE = "(?U)" + lx.PHONE
+#: Word characters and spaces as the rules have them: letters and numbers of any script, no combining marks; the
+#: separators U+001C to U+001F are spaces. The JVM looks behind by whole code points only if a pattern
+#: holds one beyond U+FFFF itself.
+_IN_WORD, _IN_SPACE = "[\\p{L}\\p{N}_\U0001d7d3]", r"\s\x{1c}-\x{1f}"
+_EDGE = f"(?:(?<={_IN_WORD})(?!{_IN_WORD})|(?<!{_IN_WORD})(?={_IN_WORD}))"
+
+
+def _unicode(pattern: str) -> str:
+    """One of the lexicon's patterns for the JVM; there ``\\s`` and ``A-Z`` stand in brackets only. A sign such as U+212A has a small letter alone."""
+    return pattern.replace("A-Z", "A-Za-z").replace(r"\w", _IN_WORD).replace(r"\s", _IN_SPACE).replace(r"\b", _EDGE)
+
+
+EMAIL = "(?iUu)" + _unicode(lx.EMAIL)
+PHONE = "(?U)" + _unicode(lx.PHONE)
+#: What every phone number ends with.
+PHONE_END = "(?U)" + _unicode(r"\d{3}[\s.\-+]*\d{4}")
 WORD = r"(?U)[\p{L}\p{M}&&[^\d_]]+(?:['\-][\p{L}\p{M}&&[^\d_]]+)*"
 
 
