@@ -16,8 +16,9 @@ from spanveil.functions.crypto import key_status, scope_key
 from spanveil.operators import allowlist, context, conversation, requests
 from spanveil.operators.models import ModelPlan
 from spanveil.operators.names import phrase
+from spanveil.shared import settled
 from spanveil.sources.allowlists import AllowlistFiles
-from spanveil.sources.stores import build_store
+from spanveil.sources.stores import build_store, change
 from spanveil.streaming.session import Health, store_changes
 
 
@@ -79,7 +80,7 @@ class Service:
             stored = keys.join(self.store.load(keys.select("scope_key")), "scope_key").select(*scope, "snapshot", F.lit(None).cast("double").alias("last_access"))
         results = conversation.process(rows, ttl_seconds=s.vault_ttl_seconds, models=self.models, stored=stored, with_snapshots=self.store is not None)
         if self.store is not None:
-            results = results.persist()
+            results = settled(results)  # the store and the caller see the same evaluation
             self._keep(results)
             results = results.where("op <> 'vault'").drop("snapshot", "last_access")
         asked = good.select(*scope, "seq", F.coalesce("include_replacements", F.lit(False)).alias("_asked"))
@@ -92,9 +93,7 @@ class Service:
 
     def _keep(self, results: DataFrame) -> None:
         try:
-            rows, gone = store_changes(results, self.settings)
-            self.store.save(rows)
-            self.store.delete(gone)
+            change(self.store, *store_changes(results, self.settings))
             self.health.failed = False
         except Exception as e:
             self.health.failures.append((len(self.health.failures), str(e)))

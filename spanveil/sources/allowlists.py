@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanveil.operators.allowlist import normalised_terms, refresh
+from spanveil.shared import settled
+from spanveil.sources.commits import rename, write
 
 ROW = "client_id string, assistant_id string, source_version string, term_count int, content_hash string, updated_at_epoch double, terms array<string>"
 
@@ -35,15 +37,10 @@ class AllowlistFiles:
 
         Lists pass the driver one by one, each of at most ``max_terms`` terms.
         """
-        done = refresh(self.read(), incoming, self.max_terms).persist()
+        done = settled(refresh(self.read(), incoming, self.max_terms))
         for r in done.where("changed").toLocalIterator():
             row = {k: r[k] for k in ("client_id", "assistant_id", "source_version", "term_count", "content_hash", "updated_at_epoch")} | {"terms": list(r["terms"])}
             temporary, place = self._at(f".{r['cache_file']}.tmp"), self._at(r["cache_file"])
-            out = self._fs.create(temporary, True)
-            try:
-                out.write(bytearray(json.dumps(row, ensure_ascii=False, separators=(",", ":")).encode()))
-            finally:
-                out.close()
-            self._fs.delete(place, False)
-            self._fs.rename(temporary, place)
+            write(self._fs, temporary, json.dumps(row, ensure_ascii=False, separators=(",", ":")))
+            rename(self.spark, temporary, place, overwrite=True)
         return done

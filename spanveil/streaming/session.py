@@ -9,7 +9,8 @@ needed. A cap on live scopes over all keys has no place in keyed state: see
 
 from __future__ import annotations
 
-import json
+import hashlib
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -24,7 +25,8 @@ from spanveil.functions.crypto import scope_key
 from spanveil.operators import names
 from spanveil.operators.conversation import RESULTS, SCOPE, VAULTS, Session, _models
 from spanveil.shipping import ship
-from spanveil.sources.stores import StoreError, VaultStore
+from spanveil.sources.commits import CommitLog
+from spanveil.sources.stores import StoreError, VaultStore, change
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STATE = "snapshot string, last double, generation int"
@@ -124,27 +126,57 @@ def store_changes(batch: DataFrame, settings: Settings) -> tuple[DataFrame, Data
     return rows, last.where("v.snapshot is null").select("scope_key")
 
 
-def write_behind(results: DataFrame, store: VaultStore, settings: Settings, checkpoint: str, health: Health | None = None, then: Callable[[DataFrame, int], None] | None = None, **trigger):
-    """Start a query that keeps ``store`` as the results (with snapshots) tell, and hands each micro-batch on to ``then``.
+class ResultSink:
+    """Micro-batches as Parquet under ``path``, each committed once by its writer and number."""
 
-    The checkpoint takes the place of a queue. A failed write is recorded in
-    ``health``; where failures block, the query stops there and nothing is handed
-    on, to be taken up again by the next start. ``trigger`` is that of the query.
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path, self.log = spark, path, CommitLog(spark, path)
+
+    def add(self, batch: DataFrame, batch_id: int, writer: str = "") -> bool:
+        """Write and commit a batch; False if it was committed before."""
+        name = f"{hashlib.sha256(writer.encode()).hexdigest()[:16]}-{batch_id:020d}"
+        if name in self.log.names():
+            return False
+        data = f"data/{name}-{uuid.uuid4().hex}"
+        batch.write.parquet(f"{self.path}/{data}")
+        return self.log.commit(name, {"data": data, "schema": batch.schema.jsonValue()})
+
+    def read(self) -> DataFrame | None:
+        """The rows of all committed batches; None without any."""
+        found = [self.log.read(n) for n in self.log.names()]
+        return self.spark.read.schema(T.StructType.fromJson(found[-1]["schema"])).parquet(*(f"{self.path}/{f['data']}" for f in found)) if found else None
+
+
+def write_behind(results: DataFrame, store: VaultStore, settings: Settings, checkpoint: str, health: Health | None = None, then: Callable[[DataFrame, int], None] | None = None, out: ResultSink | None = None, **trigger):
+    """Start a query that keeps ``store`` as the results (with snapshots) tell, and hands each micro-batch on to ``out`` and ``then``.
+
+    The checkpoint takes the place of a queue. A micro-batch is evaluated once,
+    then saved, then handed on. After a failure between these steps the next
+    start takes it up again: the store and ``out`` know the number of a batch that
+    they have committed, and skip it; ``then`` is called again. A failed write is
+    recorded in ``health``; where failures block, the query stops there and
+    nothing is handed on. ``trigger`` is that of the query.
     """
     health = Health() if health is None else health
 
     def sink(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
         try:
-            rows, gone = store_changes(batch, settings)
-            store.save(rows)
-            store.delete(gone)
-            health.failed = False
-        except Exception as e:
-            health.failures.append((batch_id, str(e)))
-            health.failed = True
-        health.require(settings)
-        if then is not None:
-            then(batch.where("op <> 'vault'"), batch_id)
+            batch.count()  # a batch that all others skip must still bring the state forward
+            try:
+                change(store, *store_changes(batch, settings), checkpoint, batch_id)
+                health.failed = False
+            except Exception as e:
+                health.failures.append((batch_id, str(e)))
+                health.failed = True
+            health.require(settings)
+            shown = batch.where("op <> 'vault'")
+            if out is not None:
+                out.add(shown, batch_id, checkpoint)
+            if then is not None:
+                then(shown, batch_id)
+        finally:
+            batch.unpersist()
 
     writer = results.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(sink)
     return (writer.trigger(**trigger) if trigger else writer).start()

@@ -160,7 +160,7 @@ def test_a_failed_store_blocks(spark, tmp_path):
     from spanveil.streaming.session import Health, write_behind
 
     store, health, seen = MemoryStore(spark), Health(), []
-    store.save = lambda rows: (_ for _ in ()).throw(StoreError("down"))
+    store.apply = lambda *a: (_ for _ in ()).throw(StoreError("down"))
     schema = conversation.process(_messages(spark, ROWS), with_snapshots=True)
     schema.coalesce(1).write.parquet(str(tmp_path / "results"))
     for blocks in (True, False):

@@ -61,7 +61,7 @@ def test_vaults_are_kept_between_batches(spark, tmp_path):
     service = Service(spark, s)
     assert service.mode == "internal:table"
     assert _by_seq(service.process(_requests(spark, {"message": "Name: Orla Quist", "ts": 4e9})))[0].status == "ok"
-    assert TableStore(spark, s.store_path, "m")._rows().first().key_version == "v7"
+    assert TableStore(spark, s.store_path, "m").rows().first().key_version == "v7"
     again = _by_seq(Service(spark, s).process(_requests(spark, {"op": "out", "message": "Hi <fn_1>", "ts": 4e9}, {"op": "end", "message": "-", "ts": 4e9 + 1})))
     assert (again[0].text, again[1].status) == ("Hi Orla", "ended")
     assert _by_seq(Service(spark, s).process(_requests(spark, {"op": "out", "message": "Hi <fn_1>", "ts": 4e9})))[0].status == "error"
