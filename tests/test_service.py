@@ -74,7 +74,7 @@ def test_failures_of_the_store_and_of_messages(spark, tmp_path):
         assert [got[i].status for i in range(3)] == [status, "raw", "error"]
     for blocks in (True, False):
         service = Service(spark, Settings(persistence_mode="internal", internal_store="memory", persistence_block_on_error=blocks))
-        service.store.save = lambda rows: (_ for _ in ()).throw(StoreError("down"))
+        service.store.apply = lambda *a: (_ for _ in ()).throw(StoreError("down"))
         service.process(_requests(spark, {"message": "x"}))
         if blocks:
             with pytest.raises(StoreError):
