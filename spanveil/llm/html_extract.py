@@ -17,7 +17,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -54,6 +54,7 @@ BOILERPLATE = frozenset(
     " related recommended recommendations footer masthead topbar toolbar pagination pager copyright search contentinfo complementary alert hidden skip".split()
 )
 HEADER = frozenset("header".split())
+BOUNDS = SECTIONS | frozenset("ul ol table dl tbody".split())
 # End of the fixed values.
 
 
@@ -101,13 +102,17 @@ def _says_boilerplate(tag: str, attrs: str, in_article: bool) -> str | None:
 
 def parse(text: str) -> Page:
     """The page's elements and tokens. Unclosed and misnested tags are taken as a browser would, roughly."""
-    page, stack, open_ = Page(), [0], Counter()
+    page, stack = Page(), [0]
     elements, events = page.elements, page.events
+    places: defaultdict[str, list[int]] = defaultdict(list)  # where in the stack each tag is open
+    bounds = [0]  # where in the stack implied ends stop
     broke = False
 
     def pop_to(depth: int) -> None:
         while len(stack) > depth:
-            open_[elements[stack.pop()].tag] -= 1
+            places[elements[stack.pop()].tag].pop()
+        while bounds[-1] >= depth:
+            bounds.pop()
 
     for m in _TOKEN.finditer(text):
         part = m["text"]
@@ -131,29 +136,26 @@ def parse(text: str) -> Page:
         elif tag == "br" and page.blocks[-1] and not broke:
             page.blocks[-1].append((stack[-1], " "))
         if closing:
-            if open_[tag] > 0:
-                at = next(i for i in range(len(stack) - 1, 0, -1) if elements[stack[i]].tag == tag)
+            if places[tag]:
+                at = places[tag][-1]
                 events.append((stack[at], "/" + tag, 0, -1))
                 pop_to(at)
             continue
         if tag in CLOSES_P or tag in ("li", "td", "th", "tr", "dt", "dd", "option"):
             same = ("td", "th") if tag in ("td", "th") else ("dt", "dd") if tag in ("dt", "dd") else ("p",) if tag in CLOSES_P else (tag,)
-            if any(open_[x] > 0 for x in same):
-                for i in range(len(stack) - 1, 0, -1):
-                    other = elements[stack[i]].tag
-                    if other in same:
-                        pop_to(i)
-                        break
-                    if other in SECTIONS or other in ("ul", "ol", "table", "dl", "tbody"):
-                        break
+            at = max((places[x][-1] for x in same if places[x]), default=-1)
+            if at >= bounds[-1]:
+                pop_to(at)
         parent = stack[-1]
         events.append((parent, tag, 0, -1))
         if tag in VOID or m["attrs"].endswith("/"):
             continue
-        says = _says_boilerplate(tag, m["attrs"], any(open_[x] > 0 for x in MARKS))
+        says = _says_boilerplate(tag, m["attrs"], any(places[x] for x in MARKS))
         elements.append(_Element(tag, parent, elements[parent].never or says == "never", says == "named"))
+        places[tag].append(len(stack))
+        if tag in BOUNDS:
+            bounds.append(len(stack))
         stack.append(len(elements) - 1)
-        open_[tag] += 1
     return page
 
 
