@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -12,23 +14,23 @@ def test_single_messages(text, previous, term, expected):
     assert names.redact(text, Vault(), previous, names.terms_of([term])).text == expected
 
 
-FIRST = "What's your first name?"
-LAST = "Thanks! I have your first name. Last name? Email or phone number?"
-FULL = "Please share your first and last name and the best way to reach you."
+FIRST = "May I ask for your first name?"
+LAST = "Got it. And what is your last name?"
+FULL = "Could you tell me your first and last name?"
 
 
 @pytest.mark.parametrize(
     "turns",
     [
-        [("My name is Orla Quist", None, "My name is <fn_1> <ln_1>"), ("Thank you, Orla Quist and others.", None, "Thank you, <fn_1> <ln_1> and others.")],
-        [("Orla oq12@mail.example.com", FULL, "<fn_1> <em_1>"), ("Orla", "What's your last name?", "<fn_1>")],
-        [("AgentVey, 555.010.2003", "What's your first name and best phone number?", "<fn_1>, <ph_1>"), ("Agent Vey", "What's your full name?", "<fn_1>")],
+        [("My name is Orla Quist", None, "My name is <fn_1> <ln_1>"), ("Write to Orla Quist at noon.", None, "Write to <fn_1> <ln_1> at noon.")],
+        [("Orla oq12@mail.example.com", FULL, "<fn_1> <em_1>"), ("Orla", LAST, "<fn_1>")],
+        [("OrlaVey, 555.010.2003", "Your first name, and a phone number?", "<fn_1>, <ph_1>"), ("Orla Vey", FULL, "<fn_1>")],
         [("Orla", FIRST, "<fn_1>"), ("Quist", LAST, "<ln_1>")],
         [("Orla", FIRST, "<fn_1>"), ("Orla Quist oq@mail.example.com 5550102003 north lorne", LAST, "<fn_1> <ln_1> <em_1> <ph_1> north lorne")],
-        [("Orla Frew", "What's your first and last name?", "<fn_1> <ln_1>"), ("Orla Free", "Email or phone number?", "<fn_1> <ln_1>"), ("Frew", "Email or phone number?", "<ln_1>")],
+        [("Orla Frew", FULL, "<fn_1> <ln_1>"), ("Orla Free", "And an email, please?", "<fn_1> <ln_1>"), ("Frew", "And an email, please?", "<ln_1>")],
         [("oqvey25@mail.example.com", None, "<em_1>"), ("orla vey", FIRST, "<fn_1> <ln_1>")],
-        [("Orla", FIRST, "<fn_1>"), ("I'm a realtor Orla Vey", "What's your last name?", "I'm a realtor <fn_1> <ln_1>")],
-        [("Orla and I can be reached @ 555 010-2003", FIRST, "<fn_1> and I can be reached @ <ph_1>"), ("A finished basement and suite", None, "A finished basement and suite")],
+        [("Orla", FIRST, "<fn_1>"), ("My surveyor met Orla Vey twice", LAST, "My surveyor met <fn_1> Vey twice")],
+        [("Orla, my desk line is 555 010-2003", FIRST, "<fn_1>, my desk line is <ph_1>"), ("Two rooms and a cellar", None, "Two rooms and a cellar")],
     ],
 )
 def test_turns_of_one_scope(turns):
@@ -85,3 +87,27 @@ def test_numbers_are_dense_and_values_share_tokens(pairs):
         assert tokens == [f"<{entity}_{i + 1}>" for i in range(len(tokens))]
     again = Vault.restore(vault.snapshot())
     assert again.snapshot() == vault.snapshot()
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["<", ">", "fn", "mn1", "12", "1", "_", "first", "first_name", "e-mail", "Email", "name", " ", "middle1", "ph", "x", "ln_1", "<fn_1>", "٣"]), max_size=9).map("".join))
+def test_repair_touches_nothing_but_placeholders(text):
+    vault = Vault()
+    for value in ("Orla", "Tam"):
+        vault.assign("fn", value)
+    vault.assign("mn1", "Zed")
+    vault.assign("ln", "Quist")
+    vault.assign("em", "o@mail.example.com")
+    outside = re.compile("<[^<>]+>")
+    assert outside.split(names.repair(text, vault)) == outside.split(text) or "name" in text
+    for token in outside.findall(names.repair(text, vault)):
+        assert token in vault.values or token in text
+
+
+@pytest.mark.parametrize("said, token", [("fn2", "<fn_2>"), ("FN_1", None), (" first1 ", "<fn_1>"), ("mn11", "<mn1_1>"), ("mn1", "<mn1_1>"), ("first_name_1", None), ("fn3", None), ("middle11", None), ("middle1", "<mn1_1>"), ("person", "<fn_2> <ln_1>"), ("mobile", None), ("", None), ("fn٢", None)])
+def test_readings_of_placeholders(said, token):
+    vault = Vault()
+    for entity, value in (("fn", "Orla"), ("fn", "Tam"), ("mn1", "Zed"), ("ln", "Quist")):
+        vault.assign(entity, value)
+    assert names.meant(said, vault) == token
+    assert names.repair(f"a <{said}> b", vault) == f"a {token or f'<{said}>'} b"
