@@ -8,10 +8,12 @@ Contacts alone don't need this; see ``operators.tokens``.
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -112,16 +114,17 @@ def process(messages: DataFrame, scope: tuple[str, ...] = SCOPE, ttl_seconds: in
     return fold(rows, keys, order, lambda: Session(ttl_seconds, models=_models(models)), step, schema, finish)
 
 
-_made: dict[int, names.Detectors] = {}
+_made: dict[bytes, names.Detectors] = {}
 
 
 def _models(make: Callable[[], names.Detectors] | None) -> names.Detectors:
     """Models of this worker, made at first use. What can't be made raises here; see ``operators.models`` for what may be left out."""
     if make is None:
         return names.Detectors()
-    if id(make) not in _made:
-        _made[id(make)] = make()
-    return _made[id(make)]
+    key = hashlib.sha256(cloudpickle.dumps(make)).digest()  # a worker serves many jobs, and each task unpickles its own copy
+    if key not in _made:
+        _made[key] = make()
+    return _made[key]
 
 
 def redact_udf(texts: F.Column, previous: F.Column, terms: F.Column) -> F.Column:

@@ -38,6 +38,10 @@ class Vault:
     tokens: dict[str, list[str]] = field(default_factory=dict)
     counters: dict[str, int] = field(default_factory=dict)
     _index: dict[tuple[str, str], str] = field(default_factory=dict)
+    #: Tokens whose values are new, in order; what follows the values reads on from where it was.
+    changes: list[str] = field(default_factory=list, compare=False, repr=False)
+    #: Made by ``names.repeats`` for this vault.
+    repeats: object = field(default=None, compare=False, repr=False)
 
     def assign(self, entity: str, value: str, replace_latest: bool = False) -> str:
         """The value's token. A new value takes over the newest token if ``replace_latest``, else gets the next number."""
@@ -63,6 +67,7 @@ class Vault:
             token = f"<{entity}_{n}>"
             self.tokens.setdefault(entity, []).append(token)
         self.values[token] = value
+        self.changes.append(token)
         self._index[key] = token
         return token
 
@@ -88,8 +93,9 @@ class Vault:
 
     def clear(self) -> None:
         self.profile = 1
-        for part in (self.values, self.tokens, self.counters, self._index):
+        for part in (self.values, self.tokens, self.counters, self._index, self.changes):
             part.clear()
+        self.repeats = None
 
     def snapshot(self) -> dict:
         most = max(self.counters.values(), default=0)
@@ -112,6 +118,7 @@ class Vault:
         """
         part = lambda name: data[name] if isinstance(data.get(name), dict) else {}
         out = cls(profile=int(data.get("current_profile", 1)), values={str(t): str(v) for t, v in part("token_to_value").items()})
+        out.changes = list(out.values)
         named = {t: m for t in out.values if (m := TOKEN.match(t))}
         sources = (
             (((e, t) for e, ts in part("entity_to_tokens").items() if isinstance(ts, list) for t in ts), False),
