@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from spanveil.functions.spans import contact_spans, splice
 from spanveil.functions.text import normalise
+from spanveil.shared import settled
 
 
 def _norm(entity: Column, value: Column) -> Column:
@@ -23,15 +24,47 @@ def contact_mentions(docs: DataFrame, scope: str, seq: str, text: str) -> DataFr
     return spans.select("scope", "seq", "s.*").withColumn("norm", _norm(F.col("entity"), F.col("value")))
 
 
-def vault_table(mentions: DataFrame) -> DataFrame:
+#: Distinct values of one entity of one scope, up to which one task numbers them.
+LARGE = 100_000
+
+
+def ranked(rows: DataFrame, keys: list[str], order: list[str], name: str, large: int = LARGE) -> DataFrame:
+    """``rows`` with ``name``, their number from 1 in their group's order (null keys are equal).
+
+    Equal to a window's row number. The rows of groups of more than ``large`` are
+    dealt by ranges of (group, order) over tasks and sorted there; a row's number
+    is its place in its range plus what the ranges before it hold of the group.
+    Rows are written once to the shared folder, and groups and ranges counted; a
+    range is a part of a group, so no task gets a whole group.
+    """
+    rows = settled(rows)
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") > large)
+    found = sizes.agg(F.sum("_size").alias("n")).first()["n"]
+    window = Window.partitionBy(*keys).orderBy(*order)
+    if not found:
+        return rows.withColumn(name, F.row_number().over(window))
+    groups = settled(sizes.select(*(F.col(k).alias(f"_{k}") for k in keys)))  # each has more than ``large`` of the rows
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    few = rows.join(groups, same, "left_anti").withColumn(name, F.row_number().over(window))
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, -(-found // max(large // 2, 1000)))
+    ranges = rows.join(groups, same, "left_semi").repartitionByRange(parts, *keys, *order).sortWithinPartitions(*keys, *order)
+    placed = settled(ranges.withColumn("_at", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_at", 33))
+    starts = placed.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_part")) - F.col("_n")  # a row for each range that a group lies in
+    offsets = starts.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("_part").alias("_of"), (before - F.col("_first") + 1).alias("_shift"))
+    many = placed.join(offsets, [*same, F.col("_part") == F.col("_of")]).select(*rows.columns, (F.col("_at") + F.col("_shift")).cast("int").alias(name))
+    return few.unionByName(many)
+
+
+def vault_table(mentions: DataFrame, large: int = LARGE) -> DataFrame:
     """(scope, entity, norm, n, token, value, first_seq): distinct values numbered by first appearance in their scope.
 
     Mentions are reduced to distinct values, with a map-side part, before the
-    numbering sees them.
+    numbering sees them; see ``ranked`` for scopes that hold many.
     """
-    first = mentions.groupBy("scope", "entity", "norm").agg(F.min(F.struct("seq", "start", "value")).alias("f"))
-    n = F.row_number().over(Window.partitionBy("scope", "entity").orderBy("f.seq", "f.start", "norm"))
-    return first.withColumn("n", n).select("scope", "entity", "norm", "n", F.format_string("<%s_%d>", "entity", "n").alias("token"), F.col("f.value").alias("value"), F.col("f.seq").alias("first_seq"))
+    first = mentions.groupBy("scope", "entity", "norm").agg(F.min(F.struct("seq", "start", "value")).alias("f")).select("scope", "entity", "norm", F.col("f.seq").alias("first_seq"), F.col("f.start").alias("_start"), F.col("f.value").alias("value"))
+    numbered = ranked(first, ["scope", "entity"], ["first_seq", "_start", "norm"], "n", large)
+    return numbered.select("scope", "entity", "norm", "n", F.format_string("<%s_%d>", "entity", "n").alias("token"), "value", "first_seq")
 
 
 def _row_key(text: str) -> Column:

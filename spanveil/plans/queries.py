@@ -122,6 +122,13 @@ def vault_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _vault(spark, sf_dir).select(F.col("scope").alias("source"), "entity", "n", "token", "value", F.col("first_seq").alias("first_doc"))
 
 
+@query(_MENTIONS.replace("SELECT doc_id, source, text", "SELECT doc_id, 1 AS source, text", 1) + "SELECT entity, n, token, value, first_doc FROM vault")
+def vault_of_one_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as one scope, numbered by ranges whatever their number."""
+    mentions = tokens.contact_mentions(_read(spark, sf_dir, "documents").withColumn("one", F.lit(1)), "one", "doc_id", "text")
+    return tokens.vault_table(mentions, large=0).select("entity", "n", "token", "value", F.col("first_seq").alias("first_doc"))
+
+
 @query(_MENTIONS + "SELECT source, entity, max(n) AS n, max_by(token, n) AS latest_token, max_by(value, n) AS latest_value FROM vault GROUP BY ALL")
 def token_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.counters(_vault(spark, sf_dir)).withColumnRenamed("scope", "source")
