@@ -173,18 +173,21 @@ def told_last_name(text: str) -> Place | None:
 
 def name_before_firm(text: str) -> tuple[Place, Place, list[str]] | None:
     """Two words after the end of a sentence, and the one to six words with which the text ends after them."""
+    before = text.rsplit(None, 6)
+    least = len(before[0]) if len(before) == 7 else 0  # from here on there are six words at most
     for at in (i for i, c in enumerate(text) if c in "?.!"):
         a = _word(text, _apart(text, at + 1))
         b = _word(text, _apart(text, a[1])) if a else None
-        if b and (rest := text[b[1] :])[:1].isspace():
-            tail = rest.split()
-            if 1 <= len(tail) <= 6 and all(TAIL_WORD.fullmatch(t) for t in tail):
+        if b and b[1] >= least and text[b[1] : b[1] + 1].isspace():
+            tail = text[b[1] :].split()
+            if tail and all(TAIL_WORD.fullmatch(t) for t in tail):
                 return a, b, tail
     return None
 
 
 def signature(text: str) -> tuple[int, Place, str | None, Place] | None:
     """(start, first, middle initial, last) of a name that ends the text after a stop, a dash or in brackets."""
+    end = len(text.rstrip())
     for at in (i for i, c in enumerate(text) if c in ".!?(" or c in DASHES):
         a = _word(text, _gap(text, at + 1))
         after = _apart(text, a[1]) if a else None
@@ -195,7 +198,7 @@ def signature(text: str) -> tuple[int, Place, str | None, Place] | None:
             if b is None:
                 continue
             close = text[b[1] : b[1] + 1] == ")"
-            if not text[b[1] + close :].strip():
+            if b[1] + close >= end:
                 return (at, a, middle, b) if close or text[at] != "(" else None
     return None
 

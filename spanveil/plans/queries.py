@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from spanveil import lexicon as lx
 from spanveil.functions import crypto, placeholders, spans, text
 from spanveil.operators import allowlist, context, conversation, requests, tokens, transcript
+from spanveil.operators import near_terms as near_terms_
 from spanveil.plans import golden
 from spanveil.shipping import ship
 from spanveil.sources.stores import unexpired, upsert
@@ -180,11 +181,11 @@ def rehydrate_shared_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.rehydrate(tokens.redact_contacts(rows, "scope", "seq", "text"), vaults, "scope", "seq", "redacted")
 
 
-@query(_MENTIONS + """, asks AS (SELECT doc_id, source FROM documents WHERE doc_id % 10 = 0)
+@query(_MENTIONS + """, asks AS (SELECT doc_id, source FROM documents)
 SELECT a.doc_id, a.source, max_by(v.token, v.n) AS token, max_by(v.value, v.n) AS value FROM asks a LEFT JOIN vault v ON v.source = a.source AND v.entity = 'em' AND v.first_doc < a.doc_id GROUP BY ALL""")
 def value_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _read(spark, sf_dir, "documents")
-    asks = d.where("doc_id % 10 = 0").select("doc_id", "source", F.lit("em").alias("entity"))
+    asks = d.select("doc_id", "source", F.lit("em").alias("entity"))
     return tokens.value_at(tokens.contact_mentions(d, "source", "doc_id", "text"), asks, "source", "doc_id", "entity").drop("entity")
 
 
@@ -382,6 +383,14 @@ def fuzzy_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "customer").select("c_custkey", near.alias("near"))
 
 
+@query(None)
+def near_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of user turns that are nearly, not quite, a word of an assistant turn, over all conversations."""
+    turns = _read(spark, sf_dir, "conversations").select("role", F.explode(near_terms_.word_runs(F.col("text"), 1)).alias("run")).where("length(run) > 4").distinct()
+    said = lambda role, name: turns.where(F.col("role") == role).select(F.lit(1).alias("list"), F.col("run").alias(name))
+    return near_terms_.near_pairs(said("user", "phrase"), said("assistant", "term")).where("phrase <> term").select("phrase", "term")
+
+
 # ---- conversations ----
 def _conversation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five operations in each scope: two redactions, a reply, an end, a reply after it."""
@@ -440,11 +449,21 @@ def corrected_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT conv_id, CAST(turn AS BIGINT) AS turn, CASE WHEN role = 'user' OR seen > 0 THEN 'ok' ELSE 'raw' END AS status, CASE WHEN role <> 'user' THEN md5(text) END AS restored FROM t"""
 )
 def conversation_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _turns(spark, sf_dir).select("conv_id", "turn", "status", F.when(F.col("op") == "out", F.md5("text")).alias("restored"))
+
+
+@query(None)
+def conversation_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn as its session gives it: user turns redacted, the others restored."""
+    return _turns(spark, sf_dir).select("conv_id", "turn", "op", "status", "text", "profile", "generation")
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = context.previous_assistant(_read(spark, sf_dir, "conversations"))
     empty = F.lit("")
     op = F.when(F.col("role") == "user", "in").otherwise("out").alias("op")
     rows = turns.select(*(empty.alias(s) for s in conversation.SCOPE[:-1]), F.col("conv_id").cast("string").alias("thread_id"), F.col("turn").cast("bigint").alias("seq"), op, F.col("turn").cast("double").alias("ts"), F.col("text").alias("message"), "previous", F.array().cast("array<string>").alias("terms"), F.lit(False).alias("new_user"), F.lit(False).alias("closed"))
-    return conversation.process(rows).select(F.col("thread_id").cast(turns.schema["conv_id"].dataType).alias("conv_id"), F.col("seq").alias("turn"), "status", F.when(F.col("op") == "out", F.md5("text")).alias("restored"))
+    return conversation.process(rows).withColumn("conv_id", F.col("thread_id").cast(turns.schema["conv_id"].dataType)).withColumnRenamed("seq", "turn")
 
 
 @query("SELECT user_id, event_id, CAST(1 + sum(n) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS generation FROM (SELECT *, CASE WHEN ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 3600 SECOND THEN 1 ELSE 0 END AS n FROM events)")
