@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from spanveil.operators import allowlist, names
 from spanveil.operators.folds import fold
 from spanveil.operators.vault import Vault
+from spanveil.shared import settled
 
 # The line grammar.
 STARTED = r"^Started:\s+.*\|\s+Thread:\s+(\S+)\s*$"
@@ -27,10 +28,27 @@ LINE_ENDS = r"\n\x0B\f\x1C-\x1E\x85\u2028\u2029"
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line_no, line): all lines of text files, with their line ends.
 
-    CR and CRLF become LF; the other separators of lines of Unicode end a line too.
+    CR and CRLF become LF; the other separators of lines of Unicode end a line
+    too. Files are read in splits, each by a task; a line's number is its place in
+    its split plus the lines of the splits before. Whether a file's last line has
+    an end shows in the file's size.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.regexp_replace("value", r"\r\n?", "\n").alias("text"))
-    return whole.select("file", F.posexplode(F.split("text", rf"(?<=[{LINE_ENDS}])(?!\z)")).alias("line_no", "line")).where("line <> ''")
+    raw = spark.read.option("lineSep", "\n").text(path)
+    raw = raw.select(F.input_file_name().alias("file"), F.col("_metadata.file_block_start").alias("_split"), F.col("_metadata.file_size").alias("_size"), "value", F.monotonically_increasing_id().alias("_at"))
+    raw = settled(raw)
+    place = F.struct("_split", "_at")
+    over = F.sum(F.octet_length("value") + 1) - F.max("_size")  # 1 without a last line end; 3 less with a byte order mark, which the reader takes off
+    per_file = raw.groupBy("file").agg(over.alias("_over"), F.min(place).alias("_begin"), F.max(place).alias("_last"))
+    mark = F.when(F.col("_over").isin(-3, -2) & (F.col("_begin") == place), "\ufeff").otherwise("")
+    end = F.when(F.col("_over").isin(1, -2) & (F.col("_last") == place), "").otherwise("\n")
+    ended = raw.join(per_file, "file").withColumn("text", F.concat(mark, "value", end))
+    lines = F.filter(F.split(F.regexp_replace("text", r"\r\n?", "\n"), rf"(?<=[{LINE_ENDS}])(?!\z)"), lambda x: x != "")
+    parts = ended.select("file", "_split", "_at", lines.alias("lines"))
+    inside = Window.partitionBy("file", "_split").orderBy("_at")
+    placed = parts.withColumn("_before", F.sum(F.size("lines")).over(inside) - F.size("lines"))
+    splits = parts.groupBy("file", "_split").agg(F.sum(F.size("lines")).alias("_n"))
+    offsets = splits.withColumn("_first", F.sum("_n").over(Window.partitionBy("file").orderBy("_split")) - F.col("_n")).drop("_n")
+    return placed.join(offsets, ["file", "_split"]).select("file", F.col("_before").alias("_b"), "_first", F.posexplode("lines").alias("_i", "line")).select("file", (F.col("_first") + F.col("_b") + F.col("_i")).cast("int").alias("line_no"), "line")
 
 
 def classify(lines: DataFrame) -> DataFrame:
@@ -50,13 +68,35 @@ def classify(lines: DataFrame) -> DataFrame:
     )
 
 
-def blocks(classified: DataFrame) -> DataFrame:
-    """Adds thread (carried forward) and block: lines up to the next boundary share one. A file is the unit of order."""
-    w = Window.partitionBy("file").orderBy("line_no")
-    out = classified.withColumn("thread", F.last("thread_mark", ignorenulls=True).over(w)).withColumn("block", F.sum(F.col("boundary").cast("int")).over(w))
-    head = Window.partitionBy("file", "block")
-    role = F.max(F.when(F.col("thread").isNotNull(), F.col("role"))).over(head)
-    return out.withColumn("speaker", role)
+#: Lines of a file that one task looks at in order.
+CHUNK = 100_000
+
+
+def carried(lines: DataFrame, value: Column, name: str, total: bool = False) -> DataFrame:
+    """Adds ``name``: the last ``value`` that isn't null up to each line of its file, or their running sum.
+
+    Chunks of a file are scanned each by itself; what a chunk ends with is
+    combined over the chunks, a row each, and handed to the chunks after it.
+    """
+    inside = Window.partitionBy("file", "_chunk").orderBy("line_no")
+    after = Window.partitionBy("file").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    marked = lines.withColumn("_v", value)
+    own = F.sum("_v") if total else F.last("_v", ignorenulls=True)
+    end = F.sum("_v") if total else F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col("line_no")))
+    ends = marked.groupBy("file", "_chunk").agg(end.alias("_e"))
+    before = F.sum("_e").over(after) if total else F.last("_e", ignorenulls=True).over(after)
+    ends = ends.select(F.col("file").alias("_file"), F.col("_chunk").alias("_of"), before.alias("_before"))
+    joined = marked.withColumn("_own", own.over(inside)).join(ends, F.col("file").eqNullSafe(F.col("_file")) & (F.col("_chunk") == F.col("_of")))
+    both = F.coalesce("_own", F.lit(0)) + F.coalesce("_before", F.lit(0)) if total else F.coalesce("_own", "_before")
+    return joined.withColumn(name, both).drop("_v", "_own", "_file", "_of", "_before")
+
+
+def blocks(classified: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Adds thread (carried forward), block, and speaker: lines up to the next boundary share a block, and the role of its first line if that stands in a thread."""
+    out = classified.withColumn("_chunk", F.floor(F.col("line_no") / chunk))
+    out = carried(carried(out, F.col("thread_mark"), "thread"), F.col("boundary").cast("int"), "block", total=True)
+    head = F.when(F.col("boundary"), F.struct(F.when(F.col("thread").isNotNull(), F.col("role")).alias("role")))
+    return carried(out, head, "_head").withColumn("speaker", F.col("_head.role")).drop("_head", "_chunk")
 
 
 def redact(lines: DataFrame, mode: str = "user-only", terms: list[str] | None = None) -> DataFrame:
