@@ -93,7 +93,7 @@ def carried(lines: DataFrame, value: Column, name: str, total: bool = False) ->
 
 def blocks(classified: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Adds thread (carried forward), block, and speaker: lines up to the next boundary share a block, and the role of its first line if that stands in a thread."""
-    out = classified.withColumn("_chunk", F.floor(F.col("line_no") / chunk))
+    out = classified.withColumn("_chunk", F.coalesce(F.floor(F.col("line_no") / chunk), F.lit(-1)))  # lines without a number come first
     out = carried(carried(out, F.col("thread_mark"), "thread"), F.col("boundary").cast("int"), "block", total=True)
     head = F.when(F.col("boundary"), F.struct(F.when(F.col("thread").isNotNull(), F.col("role")).alias("role")))
     return carried(out, head, "_head").withColumn("speaker", F.col("_head.role")).drop("_head", "_chunk")
