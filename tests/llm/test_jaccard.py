@@ -1,4 +1,4 @@
-"""Rows with repeated, textual or missing ids in the Jaccard join."""
+"""Rows with repeated, textual or missing ids in the Jaccard join, and tables of few or very long texts."""
 
 from spanveil.llm import jaccard
 
@@ -14,3 +14,13 @@ def test_rows_are_told_apart_by_id_and_text(spark):
     assert got == sorted([("1", a), ("1", b), ("", a), ("", ""), ("3", ""), ("3", ""), ("", "lone one")])
     parts = {(r.doc_id, r.n_shingles): r.component_id for r in jaccard.ngram_jaccard_components(docs).collect()}
     assert parts == {("2", 36): "1", ("1", 36): "1", (None, 36): None, (None, 0): None, ("3", 0): "3", (None, 1): None}
+
+
+def test_components_of_nothing_and_of_very_long_texts(spark):
+    empty = spark.createDataFrame([], "doc_id bigint, text string")
+    assert jaccard.ngram_jaccard_components(empty).count() == 0
+    long = " ".join(f"w{i % 9973}x{i // 7}" for i in range(60_000))
+    near = " ".join(long.split()[:59_000])
+    rows = [(3, long), (1, near), (2, long.upper()), (4, "w0x0 w1x0"), (5, None)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.ngram_jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string"), k=3, num=90, den=100).collect()}
+    assert got == {3: (59_998, 1), 1: (58_998, 1), 2: (59_998, 1), 4: (1, 4), 5: (0, 5)}
