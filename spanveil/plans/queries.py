@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spanveil import lexicon as lx
 from spanveil.functions import crypto, placeholders, spans, text
-from spanveil.operators import allowlist, context, conversation, requests, tokens, transcript
+from spanveil.operators import allowlist, context, conversation, requests, selectors, tokens, transcript
 from spanveil.operators import near_terms as near_terms_
 from spanveil.plans import golden
 from spanveil.shipping import ship
@@ -391,6 +391,12 @@ def near_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_terms_.near_pairs(said("user", "phrase"), said("assistant", "term")).where("phrase <> term").select("phrase", "term")
 
 
+@query("SELECT event_id, key AS term FROM events, json_tree(props) WHERE key IS NOT NULL UNION SELECT event_id, atom ->> '$' FROM events, json_tree(props) WHERE type = 'VARCHAR'")
+def selected_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every key and string at any depth of each event's properties."""
+    return selectors.term_rows(_read(spark, sf_dir, "events"), ["event_id"], "props", [("**", "both")])
+
+
 # ---- conversations ----
 def _conversation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five operations in each scope: two redactions, a reply, an end, a reply after it."""
