@@ -53,7 +53,8 @@ def _candidates(phrases: DataFrame, terms: DataFrame, many: bool) -> DataFrame:
     moved = asked.where((F.col("p.size") > 0) & (a >= 0) & (b >= 0)).withColumn("at", F.explode(F.sequence(F.col("p.at") - b, F.col("p.at") + a)))
     held = moved.where((F.col("at") >= 0) & (F.col("at") + F.col("p.size") <= F.col("phrase_length")))
     held = held.select("list", "head", "term_length", "phrase_length", F.col("p.piece").alias("piece"), F.expr("substring(phrase, at + 1, p.size)").alias("part"), "phrase")
-    return held.join(indexed, keys).select("list", "phrase", "term").distinct()
+    pairs = held.join(indexed, keys).select("list", "phrase", "term", _left_over(share, F.col("term_length") + F.col("phrase_length")).alias("left"))
+    return pairs.where(F.expr("levenshtein(phrase, term, left) >= 0")).select("list", "phrase", "term").distinct()  # no more edits than characters left over
 
 
 def near_pairs(phrases: DataFrame, terms: DataFrame) -> DataFrame:
