@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanveil.functions.spans import bound
+from spanveil.functions.text import phrase_words, runs
 from spanveil.operators import names
 from spanveil.shipping import ship
 
@@ -83,6 +85,4 @@ def near_pairs(phrases: DataFrame, terms: DataFrame) -> DataFrame:
 
 def word_runs(text: Column, longest: int = 4) -> Column:
     """The distinct runs of one to four words of a text's phrase form."""
-    from spanveil.functions.text import phrase_words, runs
-
-    return F.array_distinct(runs(phrase_words(text), longest))
+    return F.array_distinct(bound(phrase_words(text), lambda words: runs(words, longest)))
