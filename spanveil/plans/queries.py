@@ -576,7 +576,7 @@ def encrypt_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT o_orderkey, strftime(to_timestamp(o_orderkey * 86400 + 3) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S+00:00') AS iso,
 substr(regexp_replace(trim(o_orderpriority || ' / ' || o_orderstatus), '[^A-Za-z0-9._-]+', '_', 'g'), 1, 64) AS slug FROM orders""")
 def slugs_and_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "orders").select("o_orderkey", text.epoch_iso(F.col("o_orderkey") * 86400 + 3).alias("iso"), text.slug(F.concat("o_orderpriority", F.lit(" / "), "o_orderstatus")).alias("slug"))
+    return _read(spark, sf_dir, "orders").select("o_orderkey", text.epoch_iso((F.col("o_orderkey") * 86400 + 3).cast("double")).alias("iso"), text.slug(F.concat("o_orderpriority", F.lit(" / "), "o_orderstatus")).alias("slug"))
 
 
 # ---- transcripts ----

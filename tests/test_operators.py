@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanveil import config
-from spanveil.functions import spans
+from spanveil.functions import spans, text
 from spanveil.operators import allowlist, conversation, tokens, transcript
 from spanveil.operators.vault import Vault
 from spanveil.sources import messages
@@ -303,3 +303,11 @@ def test_snapshots_of_tables_are_those_of_vaults(spark):
         plain.assign(entity, value)
     got = {r.scope: json.loads(r.snapshot) for r in tokens.snapshots(vaults).collect()}
     assert got["s"] == plain.snapshot() and got[None]["token_to_value"] == {"<em_1>": "x@y.org"}
+
+
+def test_epoch_iso_years_beyond_9999_have_no_plus(spark):
+    keys = [0, 2932896, 2932897, 8999999, -719163]
+    rows = spark.createDataFrame([(k,) for k in keys], "k bigint").select("k", text.epoch_iso((F.col("k") * 86400).cast("double")).alias("iso"))
+    got = {r.k: r.iso for r in rows.collect()}
+    want = ["1970-01-01", "9999-12-31", "10000-01-01", "26611-03-01", "0000-12-31"]
+    assert [got[k] for k in keys] == [f"{d}T00:00:00+00:00" for d in want]
