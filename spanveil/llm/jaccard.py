@@ -171,12 +171,16 @@ class _Join:
         """An overlap of c reaches the threshold for sets of these sizes."""
         return c * (self.num + self.den) >= (F.col(a) + F.col(b)) * self.num
 
-    def within_reach(self, pairs: DataFrame) -> DataFrame:
-        """Pairs (u, v) that share c of their first columns, and whose columns after the earlier end can still make up the threshold."""
-        a, b = (_small(self.heads.select(F.col("v").alias(x), F.struct("n", "p", "last").alias(y)), self.n_heads) for x, y in (("u", "a"), ("v", "b")))
+    def reaches(self, c: Column) -> Column:
+        """Two rows a and b that share c of their first columns can make up the threshold with those after the earlier end."""
         rest_a, rest_b = F.col("a.n") - F.col("a.p"), F.col("b.n") - F.col("b.p")
         rest = F.when(F.col("a.last") < F.col("b.last"), rest_a).when(F.col("a.last") > F.col("b.last"), rest_b).otherwise(F.greatest(rest_a, rest_b))
-        return pairs.join(a, "u").join(b, "v").where(self.enough(F.col("c") + rest, "a.n", "b.n")).select("u", "v")
+        return self.enough(c + rest, "a.n", "b.n")
+
+    def within_reach(self, pairs: DataFrame) -> DataFrame:
+        """Pairs (u, v) that share c of their first columns, and can still reach the threshold."""
+        a, b = (_small(self.heads.select(F.col("v").alias(x), F.struct("n", "p", "last").alias(y)), self.n_heads) for x, y in (("u", "a"), ("v", "b")))
+        return pairs.join(a, "u").join(b, "v").where(self.reaches(F.col("c"))).select("u", "v")
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """Pairs (u, v) whose whole sets overlap enough, written. Sets not read before are read from the texts."""
@@ -215,8 +219,9 @@ class _Join:
 
         A column at positions i and j of two rows leaves an overlap of at most
         min(i, j) before it, itself, and what follows in the shorter rest. In
-        light columns each shared one counts; in heavy ones a pair is made in the
-        first heavy column that it shares, and counts them all there.
+        light columns each shared one counts. Heavy ones hold many pairs: there
+        a pair is made in the first heavy column that it shares, and only if all
+        the columns that it shares, light ones too, bring it within reach.
         """
 
         def side(rows: DataFrame, x: str, y: str, *more: str) -> DataFrame:
@@ -228,11 +233,15 @@ class _Join:
             return pairs.where("u < v and a.comp <> b.comp").where(self.like("a.n", "b.n") & self.enough(most, "a.n", "b.n"))
 
         found = met(posts.where("not heavy")).select("u", "v", F.lit(1).alias("c"))
-        if homes is not None:
-            shared = F.array_intersect("a.tokens", "b.tokens")
-            heavy = met(posts.where("heavy").join(homes, "v"), "home", "tokens").where("a.home <> b.home").where(F.array_min(shared) == F.col("token"))
-            found = found.unionByName(heavy.select("u", "v", F.size(shared).alias("c")))
-        return self.within_reach(found.groupBy("u", "v").agg(F.sum("c").alias("c")))
+        found = self.within_reach(found.groupBy("u", "v").agg(F.sum("c").alias("c")))
+        if homes is None:
+            return found
+        light = posts.where("not heavy").join(homes.select("v"), "v", "left_semi").groupBy("v").agg(F.collect_set("token").alias("light"))  # its first columns at most
+        known = homes.join(self.heads.select("v", "p", "last"), "v").join(light, "v", "left").withColumn("light", F.coalesce("light", F.array().cast("array<bigint>")))
+        shared = F.array_intersect("a.tokens", "b.tokens")
+        heavy = met(posts.where("heavy").join(known, "v"), "home", "tokens", "light", "p", "last").where("a.home <> b.home").where(F.array_min(shared) == F.col("token"))
+        heavy = heavy.where(self.reaches(F.size(shared) + F.size(F.array_intersect("a.light", "b.light"))))
+        return found.unionByName(heavy.select("u", "v")).distinct()
 
     def blocks(self, homes: DataFrame, n: int, every: bool) -> DataFrame:
         """Links (u, v) between classes of one home (v, n, home, comp), a spanning forest of each block.
