@@ -127,14 +127,29 @@ def _models(make: Callable[[], names.Detectors] | None) -> names.Detectors:
     return _made[key]
 
 
+def _each(of, *columns) -> list:
+    """``of`` of each row of a batch. Rows that are equal are worked out once: the rules take long, and messages repeat."""
+    done: dict[tuple, object] = {}
+    out = []
+    for row in zip(*columns, strict=True):
+        key = tuple(v if v is None or isinstance(v, str) else tuple(v) for v in row)
+        if key not in done:
+            done[key] = of(*row)
+        out.append(done[key])
+    return out
+
+
 def redact_udf(texts: F.Column, previous: F.Column, terms: F.Column) -> F.Column:
     """Redaction of single messages, each with a vault of its own: struct<text, replacements>."""
 
+    def of(x, y, z):
+        got = names.redact(x or "", Vault(), y, names.terms_of(z if z is not None else ()))
+        return got.text, json.dumps(got.replacements)
+
     @F.pandas_udf("struct<text: string, replacements: string>")
     def one(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for t, p, a in batches:
-            got = [names.redact(x or "", Vault(), y, names.terms_of(z if z is not None else ())) for x, y, z in zip(t, p, a, strict=True)]
-            yield pd.DataFrame({"text": [g.text for g in got], "replacements": [json.dumps(g.replacements) for g in got]})
+            yield pd.DataFrame(_each(of, t, p, a), columns=["text", "replacements"])
 
     return one(texts, previous, terms)
 
@@ -148,7 +163,7 @@ def spans_udf(texts: F.Column, previous: F.Column, terms: F.Column) -> F.Column:
             spans = names.resolve(names.detect(x or "", None, y, names.terms_of(z if z is not None else ())))
             return [{"start": s.start, "end": s.end, "entity": s.entity, "value": s.value} for s in spans]
 
-        return pd.Series([of(*row) for row in zip(t, p, a, strict=True)])
+        return pd.Series(_each(of, t, p, a))
 
     return found(texts, previous, terms)
 
@@ -158,7 +173,7 @@ def similar_udf(a: F.Column, b: F.Column) -> F.Column:
 
     @F.pandas_udf("boolean")
     def alike(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([names.similar(i or "", j or "") for i, j in zip(x, y, strict=True)])
+        return pd.Series(_each(lambda i, j: names.similar(i or "", j or ""), x, y))
 
     return alike(a, b)
 
@@ -168,6 +183,6 @@ def near_term_udf(text: F.Column, terms: F.Column) -> F.Column:
 
     @F.pandas_udf("boolean")
     def near(x: pd.Series, t: pd.Series) -> pd.Series:
-        return pd.Series([names.like_a_term(names.phrase(i or ""), names.terms_of(j if j is not None else ())) for i, j in zip(x, t, strict=True)])
+        return pd.Series(_each(lambda i, j: names.like_a_term(names.phrase(i or ""), names.terms_of(j if j is not None else ())), x, t))
 
     return near(text, terms)

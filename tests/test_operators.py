@@ -311,3 +311,15 @@ def test_epoch_iso_years_beyond_9999_have_no_plus(spark):
     got = {r.k: r.iso for r in rows.collect()}
     want = ["1970-01-01", "9999-12-31", "10000-01-01", "26611-03-01", "0000-12-31"]
     assert [got[k] for k in keys] == [f"{d}T00:00:00+00:00" for d in want]
+
+
+def test_equal_rows_of_a_batch_are_worked_out_once():
+    asked = []
+
+    def of(x, y, z):
+        asked.append((x, y, z))
+        return x, y, None if z is None else list(z)
+
+    rows = [("a", None, ["t"]), ("a", None, ["t"]), ("a", "", ["t"]), ("a", None, None), ("a", None, []), (None, None, ["t"]), ("a", None, ["t", "u"]), ("a", None, ["t"])]
+    assert conversation._each(of, *zip(*rows, strict=True)) == rows
+    assert len(asked) == 6
