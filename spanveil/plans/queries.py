@@ -75,8 +75,9 @@ SELECT doc_id, CAST(len(v) AS INTEGER) AS n, array_to_string(v, '|') AS found, C
 
 
 def _span_rows(docs: DataFrame, pattern: str) -> DataFrame:
-    m = docs.select("doc_id", spans.matches(F.col("text"), pattern).alias("m"))
-    return m.select("doc_id", F.size("m").alias("n"), F.array_join("m.value", "|").alias("found"), F.get("m.start", 0).alias("first_start"))
+    """A null text has no counts, as in SQL."""
+    m = docs.select("doc_id", F.when(F.col("text").isNotNull(), spans.matches(F.col("text"), pattern)).alias("m"))
+    return m.select("doc_id", F.when(F.col("m").isNotNull(), F.size("m")).alias("n"), F.array_join("m.value", "|").alias("found"), F.get("m.start", 0).alias("first_start"))
 
 
 @query(_span_sql(_EMAIL_SQL))
@@ -115,7 +116,7 @@ FROM d LEFT JOIN folds f USING (doc_id)"""
 )
 def redact_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = tokens.redact_contacts(_read(spark, sf_dir, "documents"), "source", "doc_id", "text")
-    return got.select(F.col("seq").alias("doc_id"), F.col("scope").alias("source"), "n", "redacted")
+    return got.select(F.col("seq").alias("doc_id"), F.col("scope").alias("source"), F.when(F.col("redacted").isNotNull(), F.col("n")).alias("n"), "redacted")
 
 
 @query(_MENTIONS + "SELECT source, entity, n, token, value, first_doc FROM vault")
