@@ -86,9 +86,17 @@ class _Layer:
     decoded from one unit of the layer before. Without a parent it is the text.
     """
 
-    def __init__(self, text: str, parent: _Layer | None, blocks: list[tuple[int, int, int, bool]], depth: int = 0):
-        self.text, self.parent, self.blocks, self.depth = text, parent, blocks, depth
+    #: Made of a base64 run, or of compressed data.
+    inside = opened = False
+
+    def __init__(self, text: str, parent: _Layer | None, blocks: list[tuple[int, int, int, bool]]):
+        self.text, self.parent, self.blocks = text, parent, blocks
         self.firsts = [b[0] for b in blocks]
+        self.inside = self.inside or (parent is not None and parent.inside)
+
+    def key(self) -> tuple:
+        """Equal for layers of the same text from the same places."""
+        return hashlib.blake2b(self.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), hash(tuple(self.blocks))
 
     def original(self, start: int, end: int) -> tuple[int, int]:
         if self.parent is None:
@@ -141,55 +149,7 @@ def _rewritten(layer: _Layer, pattern: re.Pattern, decode) -> _Layer | None:
     if at < len(layer.text):
         parts.append(layer.text[at:])
         blocks.append((here, at, len(layer.text), True))
-    return _Layer("".join(parts), layer, layer.traced(blocks), layer.depth + 1)
-
-
-#: Every layer of a text is scanned by itself until its layers hold so many characters in all, or so many times the
-#: text's own; only what escapes are left in deeper layers open all at once, so that time stays linear in the text.
-LEAST_WORK, WORK = 1 << 22, 32
-_HEX_DIGITS = frozenset("0123456789abcdefABCDEF")
-#: The escapes that may end with a given last character: sign and letter, and the number of hex digits.
-_FIXED = (("%", 2), ("\\x", 2), ("\\u", 4), ("\\U", 8))
-
-
-def _ended_escape(tail: list[tuple[str, int, int]]) -> tuple[int, str] | None:
-    """(length, what it stands for) of an escape at the end of decoded characters."""
-    for sign, n in _FIXED:
-        size = len(sign) + n
-        if len(tail) >= size and "".join(c for c, _, _ in tail[-size : len(tail) - n]) == sign and all(c in _HEX_DIGITS for c, _, _ in tail[-n:]):
-            code = int("".join(c for c, _, _ in tail[-n:]), 16)
-            return (size, chr(code)) if code < 0x110000 and not 0xD800 <= code < 0xE000 else None
-    if tail[-1][0] == "}":
-        at = next((i for i in range(len(tail) - 2, max(-1, len(tail) - 11), -1) if tail[i][0] == "{"), -1)
-        digits = [c for c, _, _ in tail[at + 1 : -1]]
-        if at >= 2 and 1 <= len(digits) <= 6 and all(c in _HEX_DIGITS for c in digits) and tail[at - 2][0] == "\\" and tail[at - 1][0] == "u":
-            code = int("".join(digits), 16)
-            return (len(tail) - at + 2, chr(code)) if code < 0x110000 and not 0xD800 <= code < 0xE000 else None
-    return None
-
-
-def _fixpoint(layer: _Layer) -> _Layer | None:
-    """The layer without any escape: what an escape stands for may end, or begin, another one. Bytes beyond ASCII stand for themselves."""
-    out: list[tuple[str, int, int]] = []
-    changed = False
-    for i, c in enumerate(layer.text):
-        out.append((c, i, i + 1))
-        while (out[-1][0] in _HEX_DIGITS or out[-1][0] == "}") and (got := _ended_escape(out)):
-            size, stands = got
-            first = out[-size][1]
-            del out[-size:]
-            out.append((stands, first, i + 1))
-            changed = True
-    if not changed:
-        return None
-    blocks: list[tuple[int, int, int, bool]] = []
-    for here, (_, start, end) in enumerate(out):
-        copied = end - start == 1
-        if copied and blocks and blocks[-1][3] and blocks[-1][2] == start:
-            blocks[-1] = (*blocks[-1][:2], end, True)
-        else:
-            blocks.append((here, start, end, copied))
-    return _Layer("".join(c for c, _, _ in out), layer, layer.traced(blocks), layer.depth + 1)
+    return _Layer("".join(parts), layer, layer.traced(blocks))
 
 
 def _utf8_units(raw: bytes, where) -> list[tuple[str, int, int]]:
@@ -213,9 +173,14 @@ def _url_units(m: re.Match) -> list[tuple[str, int, int]]:
     return _utf8_units(bytes.fromhex(m[0].replace("%", "")), lambda i: (m.start() + 3 * i, m.start() + 3 * i + 3))
 
 
-def _unicode_units(m: re.Match) -> list[tuple[str, int, int]] | None:
+def _unicode_code(m: re.Match) -> int | None:
     code = int(next(g for g in m.groups() if g), 16)
-    return [(chr(code), *m.span())] if code < 0x110000 and not 0xD800 <= code < 0xE000 else None
+    return code if code < 0x110000 and not 0xD800 <= code < 0xE000 else None
+
+
+def _unicode_units(m: re.Match) -> list[tuple[str, int, int]] | None:
+    code = _unicode_code(m)
+    return None if code is None else [(chr(code), *m.span())]
 
 
 def _wide_units(m: re.Match) -> list[tuple[str, int, int]]:
@@ -339,7 +304,9 @@ def _opened(raw: bytes, layer: _Layer, span: tuple[int, int], seen: set) -> Iter
         for chunk in _chunks(noted(source())):
             text = chunk.decode("utf-8", "replace")
             if _promises(text):
-                yield _Layer(text, layer, [(0, *layer.original(*span), False)])
+                new = _Layer(text, layer, [(0, *layer.original(*span), False)])
+                new.opened = new.inside = True
+                yield new
         key = (digest.digest(), layer.original(*span))
         if _tool(head) is None or key in seen:
             return
@@ -373,12 +340,21 @@ def _wrapped_runs(text: str) -> set[tuple[tuple[int, int], ...]]:
 class _Decoded(_Layer):
     """A layer of bytes decoded from base64: a UTF-8 character, or a byte that is part of none, stands for the characters that encode it."""
 
+    inside = True
+
     def __init__(self, raw: bytes, parent: _Layer, lines: tuple[tuple[int, int], ...]):
         text = raw.decode("utf-8", "surrogateescape")
         super().__init__(_LONE.sub("\ufffd", text), parent, [])
         self.lines, self.line_firsts = lines, [0, *accumulate(e - s for s, e in lines)]
         self.bytes_at = None if raw.isascii() else [0, *accumulate(1 if c < "\x80" or "\udc80" <= c <= "\udcff" else len(c.encode()) for c in text)]
 
+    def key(self) -> tuple:
+        run, here = [], 0
+        for s, e in self.lines:
+            run.append((here, s, e, True))
+            here += e - s
+        return hashlib.blake2b(self.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), hash(tuple(self.parent.traced(run)))
+
     def _place(self, i: int) -> int:
         """Where character i of the run stands in the parent."""
         n = bisect.bisect_right(self.line_firsts, i, 0, len(self.lines)) - 1
@@ -450,41 +426,82 @@ def _base64_layers(layer: _Layer, seen: set) -> Iterator[_Layer]:
             yield from _opened(raw, layer, (lines[0][0], lines[-1][1]), seen)
 
 
-def _unwrapped(layer: _Layer, seen: set, at_once: bool) -> Iterator[_Layer]:
+def _unwrapped(layer: _Layer, seen: set) -> Iterator[_Layer]:
     yield from _escaped_data(layer, seen)
-    if at_once:
-        if ("%" in layer.text or "\\" in layer.text) and (new := _fixpoint(layer)):
-            yield new
-        yield from _base64_layers(layer, seen)
-        return
     for sign, pattern, units in (("%", _URL, _url_units), ("\\", _UNICODE, _unicode_units), ("\0", _WIDE, _wide_units)):
         if sign in layer.text and (new := _rewritten(layer, pattern, units)):
             yield new
     yield from _base64_layers(layer, seen)
 
 
-def secret_spans(text: str | None) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
-    """(base spans, further spans from decoded layers), each (start, end, kind) in the text, sorted."""
-    if not text:
-        return [], []
-    rank = KINDS.index
-    base = scan_layer(text)
-    found: set[tuple[int, int, str]] = set()
-    work, seen, left = [iter([_Layer(text, None, [])])], set(), max(LEAST_WORK, WORK * len(text))
-    while work:
+#: Layers are made one by one until they hold so many characters in all, or so many times the text's own; from there on
+#: they are made of shared cells (``layer_cells``), which finds the same and takes less where layers are many.
+LEAST_WORK, WORK = 1 << 22, 32
+#: Characters that are in no escape, secret, base64 run or sign of compressed data, and that no escape changes.
+_APART = re.compile(r"""[^A-Za-z0-9+/_.=\-"':%\\{}> \t\r\n\0^]""")
+
+
+def _explore(root: _Layer, least: int, apart: bool, seen: set, found: set[tuple[int, int, str]], above: frozenset) -> None:
+    """Add the spans of all layers of one to ``found``. Opened data are roots of their own.
+
+    ``apart``: the root is a stretch of a text between characters that nothing
+    goes across; ``Crossing`` tells that zero bytes or compressed data might.
+    """
+    from .layer_cells import Crossing, Layers
+
+    def open_all(layers: Iterator[_Layer]) -> None:
+        for layer in layers:
+            key = layer.key()
+            if key not in above and key not in seen:
+                seen.add(key)
+                found.update((*layer.original(s, e), kind) for s, e, kind in scan_layer(layer.text))
+                _explore(layer, LEAST_WORK, False, seen, found, above | {key})
+
+    work, left = [iter([root])], max(least, WORK * len(root.text))
+    while work and left >= 0:
         layer = next(work[-1], None)
         if layer is None:
             work.pop()
             continue
-        if layer.parent is not None:
-            key = (hashlib.blake2b(layer.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), layer.original(0, len(layer.text)) if layer.text else None)
+        if layer.opened and layer is not root:
+            open_all(iter([layer]))
+            continue
+        if apart and not layer.inside and ("\0" in layer.text or any(trace.search(layer.text) for _, trace, _ in _BYTE_RUNS)):
+            raise Crossing
+        if layer is not root:
+            key = layer.key()
             if key in seen or not layer.text:
                 continue
             seen.add(key)
             found.update((*layer.original(s, e), kind) for s, e, kind in scan_layer(layer.text))
             left -= len(layer.text)
-        work.append(_unwrapped(layer, seen, left < 0))
-    order = lambda s: (s[0], rank(s[2]), s[1])
+        work.append(_unwrapped(layer, seen))
+    if not work:
+        return
+    work.clear()
+    cuts = [] if apart else [m.start() for m in _APART.finditer(root.text)]
+    if cuts:
+        try:
+            for start, end in zip([0, *cuts], [*(c + 1 for c in cuts), len(root.text)], strict=True):
+                if end - start > 2:
+                    part = _Layer(root.text[start:end], root, root.traced([(0, start, end, True)]))
+                    part.inside = False
+                    _explore(part, 0, True, set(), found, above)
+            return
+        except Crossing:
+            pass
+    layers = Layers(root, seen := set(), apart)
+    open_all(layers.opened())
+    found |= layers.found
+
+
+def secret_spans(text: str | None) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
+    """(base spans, further spans from decoded layers), each (start, end, kind) in the text, sorted."""
+    if not text:
+        return [], []
+    base, found = scan_layer(text), set()
+    _explore(_Layer(text, None, []), LEAST_WORK, False, set(), found, frozenset())
+    order = lambda s: (s[0], KINDS.index(s[2]), s[1])
     return sorted(base, key=order), sorted(found - set(base), key=order)
 
 
@@ -512,9 +529,7 @@ def find_secrets(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     Offsets are code points of the text, end exclusive. A null text is empty; an
     empty one has no spans, and an empty table gives an empty one. Repeated rows
     are scanned alike. Texts of any length are scanned whole, and every layer is
-    scanned, however deep, in time about linear in the text: only once a text's
-    layers hold more characters than ``LEAST_WORK`` and ``WORK`` times its own do
-    escapes within escapes open all at once, and what a layer between them alone
-    would show isn't found. Other columns of any name pass through.
+    scanned, however deep. Where layers hold many times a text's characters they
+    share what they have in common. Other columns of any name pass through.
     """
     return with_text(docs, _batch, FIELDS, keep=keep)

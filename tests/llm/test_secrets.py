@@ -128,6 +128,51 @@ def test_deep_escapes_take_linear_time():
     assert time.process_time() - start < 30
 
 
+@pytest.mark.parametrize("seed", range(40))
+def test_spans_do_not_depend_on_the_work_of_layers(seed, monkeypatch):
+    r = random.Random(seed)
+    more = {
+        "wide": lambda b, r: b"".join(bytes([c, 0]) for c in b),
+        "mime": lambda b, r: base64.encodebytes(b),
+        "escaped": lambda b, r: b.replace(b"e", b"%65").replace(b"%", b"%25"),
+        "gzip bytes": lambda b, r: "".join(f"%{c:02x}" for c in gzip.compress(b, mtime=0)).encode(),
+        "zlib bytes": lambda b, r: "".join(f"\\x{c:02x}" for c in zlib.compress(b)).encode(),
+    }
+    body = r.choice([b"password: hunter2hunter2", b"AKIA" + b"Q7" * 9, b"0123456789abcdef" * 2, "\u00e9 secret=\u0436abcdef77".encode()])
+    for _ in range(r.randrange(1, 5)):
+        body = r.choice([*WRAPS.values(), *more.values()])(r.choice([b"", b"% ", b"a, b;%%32", b"x" * 20 + b"\n"]) + body + r.choice([b"", b" %41", b"\nabc", b", %2525"]), r)
+    text = f"word {body.decode('utf-8', 'replace')} %252525u0041,  %5c%78%34%31"
+    spans = secret_scan.secret_spans(text)
+    for name in ("LEAST_WORK", "WORK"):
+        monkeypatch.setattr(secret_scan, name, 0)
+    assert secret_scan.secret_spans(text) == spans
+
+
+def test_wide_characters_in_opened_data_do_not_depend_on_the_work_of_layers(monkeypatch):
+    inner = "%2525,;".encode() + "token,: (secret: hunter2hunter2)".encode("utf-16-le") + b"%2541,"
+    text = base64.b64encode(gzip.compress(inner, mtime=0)).decode()
+    spans = secret_scan.secret_spans(text)
+    assert spans[1] == [(0, len(text), "assign")]
+    for name in ("LEAST_WORK", "WORK"):
+        monkeypatch.setattr(secret_scan, name, 0)
+    assert secret_scan.secret_spans(text) == spans
+
+
+@pytest.mark.parametrize("head", ["", "%252561%2561, ", "%" + "25" * 40 + "61 "])
+def test_layers_of_deep_escapes_are_all_scanned(head):
+    depth = 5000  # more characters in all layers than are made one by one
+    text = head + "%" + "25" * (depth - 1) + "deadbeef" * 3
+    found = {(s, e) for spans in secret_scan.secret_spans(text) for s, e, _ in spans}
+    assert found >= {(len(head) + 1 + 2 * k, len(text)) for k in range(depth)}
+
+
+@pytest.mark.parametrize("text", ["{0}{0}61 end", "{0}61 {0}61 {0}61 {0}61", "QQQQQQQQ{0}61", "{0}61, and {0}61, and {0}61"])
+def test_several_deep_escapes_take_linear_time(text):
+    start = time.process_time()
+    secret_scan.secret_spans(text.format("%" + "25" * 10_000).replace("Q", "Q" * 2500))
+    assert time.process_time() - start < 30
+
+
 def test_secret_table_edges(spark):
     docs = spark.createDataFrame([(1, None, "r"), (2, "", "r"), (3, "token=abcdefg", "r"), (3, "token=abcdefg", "r")], "doc_id int, text string, row string")
     got = secret_scan.find_secrets(docs).collect()
